@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +78,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors once, so that they need not share a folder with the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ripplemark_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{root.name}-source.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._ripplemark_sent = True
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

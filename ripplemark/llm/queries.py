@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.llm import tokens
+from ripplemark.llm import packing, tokens
 from ripplemark.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), RANKS)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +23,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
 }
 
