@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.llm import packing, secrets, tokens
+from ripplemark.llm import media, packing, secrets, tokens
 from ripplemark.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,10 +26,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(documents(spark, sf_dir))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
     "op8_secrets": op8_secrets,
+    "op9_media": op9_media,
 }
 
 #: DuckDB SQL for the operators that SQL can express.

@@ -89,7 +89,7 @@ def _duck_spans(kind: str, order: int, expression: str, test: str = "true") -> s
     quoted = expression.replace("'", "''")
     return f"""
     SELECT doc_id, '{kind}' AS kind, {order} AS o, m AS match,
-           list_sum(list_transform(parts[1:i], x -> length(x))) + coalesce(list_sum(list_transform(found[1:i-1], x -> length(x))), 0) AS a
+           list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS a
     FROM (SELECT doc_id, found, parts, unnest(found) AS m, generate_subscripts(found, 1) AS i
           FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS found, string_split_regex(t, '{quoted}') AS parts FROM texts))
     WHERE {test}"""
