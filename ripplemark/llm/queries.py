@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.llm import media, packing, secrets, tokens
+from ripplemark.llm import langid, media, packing, secrets, tokens
 from ripplemark.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -22,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip_digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), PIECES)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op6_langid": op6_langid,
     "op8_secrets": op8_secrets,
     "op9_media": op9_media,
 }
