@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.llm import langid, media, packing, secrets, tokens
+from ripplemark.llm import langid, media, packing, secrets, tokens, toxicity
 from ripplemark.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip_digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), PIECES)
 
@@ -38,6 +42,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_langid": op6_langid,
     "op8_secrets": op8_secrets,
     "op9_media": op9_media,
