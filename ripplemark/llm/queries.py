@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.llm import jaccard, langid, media, packing, quality, secrets, tokens, toxicity
+from ripplemark.llm import jaccard, langid, media, packing, personal, quality, secrets, tokens, toxicity
 from ripplemark.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), PIECES)
 
 
+def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digests(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_langid": op6_langid,
+    "op7_personal": op7_personal,
     "op8_secrets": op8_secrets,
     "op9_media": op9_media,
     "op10_jaccard": op10_jaccard,
