@@ -17,27 +17,20 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among the decided ones; all columns stay."""
-    return docs.join(decided.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language: texts that are null or hold no letter go."""
-    model = langid.fit(docs, PIECES)
-    return _keep(docs, langid.predict(docs, PIECES, model).where(F.col("lang_pred") != langid.UNKNOWN))
+    return langid.keep_known(docs, PIECES, langid.fit(docs, PIECES))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose toxicity score is below a half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, toxicity.predict(docs, toxicity.fit(docs, labels)).where(F.col("score") < 0.5))
+    return toxicity.keep_ordinary(docs, toxicity.fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates; rows with a null id stay."""
-    found = jaccard.near_duplicates(docs)
-    return _keep(docs, found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
+    """Keeps the document with the least id of each group of near duplicates."""
+    return jaccard.keep_first(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,14 +57,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches of about CHUNK_CHARS characters, with their texts (null: empty)."""
+def chunks(batches: Iterable[pa.RecordBatch], text_col: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of Arrow batches of about ``most`` characters, with their texts (null: empty)."""
     for batch in batches:
         texts = [t if t is not None else "" for t in batch.column(text_col).to_pylist()]
         start = held = 0
         for i, t in enumerate(texts):
             held += len(t)
-            if held >= CHUNK_CHARS or i == len(texts) - 1:
+            if held >= most or i == len(texts) - 1:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, held = i + 1, 0
 
@@ -101,3 +101,26 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def crc_remainder(id_col: str, modulus: int):
     """crc32 of an id as text, modulo; null ids count as remainder null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def filter_rows(df: DataFrame, decide: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows whose texts (null: empty) are kept, with all columns and no shuffle. decide is called in each task and
+    gives the function that decides on a list of texts."""
+
+    def run(batches):
+        keeps = decide()
+        for part, texts in chunks(batches, text_col):
+            yield part.filter(pa.array(keeps(texts), pa.bool_()))
+
+    return map_arrow(df, run, df.schema)
+
+
+#: Ids that are broadcast; beyond it a shuffle joins them.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of df whose id is not among ids (one column of distinct, non-null longs); the ids are broadcast if they are counted to be few."""
+    ids = ids.toDF("__gone")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import chunks, crc_remainder, map_arrow, ship
+from ripplemark.llm.common import chunks, crc_remainder, filter_rows, map_arrow, ship
 from ripplemark.llm.labelled import bounded_sample
 
 TRAIN_DOCS = 5_000
@@ -294,3 +294,15 @@ def identify(df: DataFrame, vocabulary: str) -> DataFrame:
     remainder = crc_remainder("doc_id", 3)
     model = fit(df.where(remainder != 1), vocabulary)
     return predict(df, vocabulary, model).withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_known(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows whose text is in a language; all columns stay."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        scorer = Scorer(pieces_of(vocabulary), *shared.value)
+        return lambda texts: [lang != UNKNOWN for lang, _ in scorer.score(texts)]
+
+    return filter_rows(df, decide, text_col)

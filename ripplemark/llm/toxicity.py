@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import chunks, crc_remainder, id_text, map_arrow, ship
+from ripplemark.llm.common import chunks, crc_remainder, filter_rows, id_text, map_arrow, ship
 from ripplemark.llm.labelled import bounded_sample
 
 #: Labelled rows of each class that are learnt from.
@@ -230,6 +230,18 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_arrow(id_text(df, id_col, text_col), run, "doc_id long, score double")
 
 
+def keep_ordinary(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below a half; all columns stay."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        own = shared.value
+        return lambda texts: [own.score(t) < 0.5 for t in texts]
+
+    return filter_rows(df, decide, text_col)
+
+
 def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learns from labels whose crc32 of the id is not 0 modulo 5, and scores all documents."""
     remainder = crc_remainder("doc_id", 5)
