@@ -1,13 +1,14 @@
 """Similarity join on word shingles: all texts whose shingle sets overlap by 0.8 or more, and their groups.
 
 1. One pass hashes every whole text to its set of 5-word shingles. Texts with equal sets are one class, known
-   by a hash of the set; a class also gets its size and a parity sketch (one bit for each of 2 to 4 times as many
+   by a hash of the set; a class also gets its size and a parity sketch (one bit for each of 4 to 8 times as many
    hash partitions as it has shingles). The pass also reports shingles that are frequent in a task.
 2. A second pass sorts each set rare-first (unreported shingles before reported ones, those by their count) and
    emits its prefix: two sets that are similar enough share a shingle of their prefixes.
 3. Classes that share a prefix shingle are candidates if length and positional bounds allow. Candidates are
    tested by the parity sketches, which bound the sets' Hamming distance from below (the suffix filter, on all of
    the set), and those left are verified exactly on their sets, once for each pair.
+   Shingles that more than ``BIG`` classes share are compared in blocks of classes: pairs that the bounds rule out never become rows.
 4. A large group of near copies would make pairs without number, most of which say nothing new. So pairs with
    the first class of each shingle's group are verified first, and neighbours in a few random orders as long as many
    pairs are open. Classes that are linked by then need not be compared again. Last, every pair that is still open
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import Scratch, chunks, id_text, map_arrow, ship
+from ripplemark.llm.common import BROADCAST_IDS, Scratch, chunks, id_text, map_arrow, ship, without_ids
 from ripplemark.llm.components import components
 from ripplemark.llm.shingles import mix, shingle_sets
 
@@ -37,8 +38,12 @@ SHARE = 80
 COUNT_BITS, REPORTED = 22, 12
 #: Classes that one group of a frequent shingle holds about, at most.
 SALTED = 20_000
-#: Ids that are broadcast; beyond it a shuffle joins them.
-BROADCAST_IDS = 500_000
+#: Classes that share a shingle, above which they are compared in blocks.
+BIG = 256
+#: Open pairs for each row from which neighbours in random orders are tried first.
+MANY_OPEN = 32
+#: Characters whose words are hashed at once: arrays of 8 bytes a character.
+CHUNK = 300_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -53,8 +58,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of hashes in each of 2 to 4 times as many partitions, a power of two."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    """Parity of the number of hashes in each of 4 to 8 times as many partitions, a power of two."""
+    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -73,6 +78,51 @@ def far_apart(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     return 100 * most_shared < SHARE * (n_a + n_b - most_shared)
 
 
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows) folded to so many bytes: partitions go by the low bits."""
+    while x.shape[1] > size:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def close_pairs(one: list[dict], two: list[dict], same: bool) -> list[tuple[int, int]]:
+    """Pairs (key, key) of two blocks of classes that share a shingle, are in different components and may be similar: by length, position and sketch.
+
+    same: both blocks are one, whose pairs count once.
+    """
+    out = []
+
+    def parts(block: list[dict]) -> dict[int, list[int]]:
+        by: dict[int, list[int]] = {}
+        for i, m in enumerate(block):
+            by.setdefault(len(m["sketch"]), []).append(i)
+        return by
+
+    def column(block: list[dict], which: list[int], name: str) -> np.ndarray:
+        return np.array([block[i][name] for i in which], np.int64)
+
+    for size_a, ia in parts(one).items():
+        for size_b, ib in parts(two).items():
+            if max(size_a, size_b) > 4 * min(size_a, size_b):
+                continue  # sizes whose sketches differ so much fail the length bound
+            size = min(size_a, size_b)
+            a = _folded(np.frombuffer(b"".join(one[i]["sketch"] for i in ia), np.uint8).reshape(len(ia), size_a), size)
+            b = _folded(np.frombuffer(b"".join(two[i]["sketch"] for i in ib), np.uint8).reshape(len(ib), size_b), size)
+            na, nb, pa_, pb = column(one, ia, "n")[:, None], column(two, ib, "n")[None, :], column(one, ia, "pos")[:, None], column(two, ib, "pos")[None, :]
+            most = np.minimum(np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb), np.minimum(na, nb))
+            ok = (most * (100 + SHARE) >= (na + nb) * SHARE) & (column(one, ia, "component")[:, None] != column(two, ib, "component")[None, :])
+            ka, kb = column(one, ia, "key"), column(two, ib, "key")
+            if same:
+                ok &= ka[:, None] < kb[None, :]
+            for i in np.flatnonzero(ok.any(axis=1)):
+                js = np.flatnonzero(ok[i])
+                apart = np.bitwise_count(a[i][None, :] ^ b[js]).sum(axis=1, dtype=np.int64)
+                shared = (na[i, 0] + nb[0, js] - apart) // 2
+                out += [(int(ka[i]), int(kb[j])) for j in js[100 * shared >= SHARE * (na[i, 0] + nb[0, js] - shared)]]
+    return out
+
+
 def prefix_length(n: int) -> int:
     """Shingles of a set of n of which a similar set shares one, in any fixed order."""
     return n - -(-SHARE * n // 100) + 1
@@ -85,7 +135,7 @@ def _profile(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << COUNT_BITS, np.int32)
         seen: set[int] = set()
         names = ["doc_id", "n", "key", "sketch", "bucket", "count"]
-        for part, texts in chunks(batches, "text"):
+        for part, texts in chunks(batches, "text", CHUNK):
             sets = shingle_sets(texts)
             keys = [set_key(s) for s in sets]
             for k, s in zip(keys, sets, strict=True):
@@ -109,10 +159,10 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
 
     def run(batches):
         buckets, counts = frequent.value
-        rank = np.zeros(1 << COUNT_BITS, np.int64)
+        rank = np.zeros(1 << COUNT_BITS, np.int32)
         rank[buckets] = counts
         seen: set[int] = set()
-        for _, texts in chunks(batches, "text"):
+        for _, texts in chunks(batches, "text", CHUNK):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for s in shingle_sets(texts):
                 if not len(s):
@@ -157,7 +207,7 @@ class JaccardJoin:
         profile = scratch.save(_profile(self.docs), "profile")
         own = profile.where("bucket is null")
         found = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).collect()  # at most 2 ** COUNT_BITS rows
-        frequent = self.spark.sparkContext.broadcast((np.array([r["bucket"] for r in found], np.int32), np.array([r["count"] for r in found], np.int64)))
+        frequent = self.spark.sparkContext.broadcast((np.array([r["bucket"] for r in found], np.int32), np.array([min(r["count"], 2**31 - 1) for r in found], np.int32)))
         classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = scratch.save(classes, "classes")
         self._groups(frequent)
@@ -193,10 +243,13 @@ class JaccardJoin:
         first = first.select(F.struct("key", "n", "pos").alias("x"), F.struct(F.col("hub_key").alias("key"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).alias("y"))
         tried = self._verify(first, "hubs")
         comp = components(self._all_links(), self.scratch, "comp-hubs")
-        for k in range(1, 7):
+        before = None
+        for k in range(1, 8):
             state, open_pairs, n_rows = self._open(comp, k)
-            if open_pairs <= 4 * n_rows:
+            # more random neighbours help while groups are large and the last ones closed many pairs
+            if open_pairs <= MANY_OPEN * n_rows or k == 7 or (before and open_pairs > 0.7 * before):
                 break
+            before = open_pairs
             near = Window.partitionBy("gram", F.pmod(F.xxhash64("key", F.lit(-k)), F.col("salts"))).orderBy(F.xxhash64("key", F.lit(k)))
             ahead = state.select("*", *(F.lead(F.struct("key", "n", "pos", "component"), d).over(near).alias(f"y{d}") for d in (1, 2, 3)))
             pairs = None
@@ -205,14 +258,42 @@ class JaccardJoin:
                 pairs = some if pairs is None else pairs.unionByName(some)
             tried = tried.unionByName(self._verify(pairs, f"near{k}"))
             comp = components(self._all_links(), self.scratch, f"comp-near{k}")
-        else:
-            state, open_pairs, n_rows = self._open(comp, 7)
         # all that is left: a class outside a shingle's largest component, with every class of another component
-        x, y = state.where("not main").alias("x"), state.alias("y")
+        few = state.where(F.col("all") <= BIG)
+        x, y = few.where("not main").alias("x"), few.alias("y")
         rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key"))) & _possible("x", "y"))
-        self._verify(rest.select(F.struct("x.key", "x.n", "x.pos").alias("x"), F.struct("y.key", "y.n", "y.pos").alias("y")), "rest", but=tried)
+        rest = rest.select(F.struct("x.key", "x.n", "x.pos").alias("x"), F.struct("y.key", "y.n", "y.pos").alias("y"))
+        self._verify(rest, "rest", but=tried, more=self._block_pairs(state.where(F.col("all") > BIG)))
         return components(self._all_links(), self.scratch, "comp-rest")
 
+    def _block_pairs(self, state: DataFrame) -> DataFrame:
+        """a, b: pairs that are left of shingles with many classes, compared block by block, so that no row is made of a pair that its sketches rule out."""
+        members = state.join(self.classes.select("key", "sketch"), "key")
+        members = members.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("all") / 128)))
+        blocks = members.groupBy("gram", "main", "part").agg(F.collect_list(F.struct("key", "n", "pos", "component", "sketch")).alias("m"))  # about 128 by the hash
+        blocks = self.scratch.save(blocks, "blocks")
+        x, y = blocks.where("not main").alias("x"), blocks.alias("y")
+        pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(F.col("y.main") | (F.col("x.part") <= F.col("y.part")))
+        pairs = pairs.select(F.col("x.m").alias("one"), F.col("y.m").alias("two"), (~F.col("y.main") & (F.col("x.part") == F.col("y.part"))).alias("same"))
+
+        def run(batches):
+            for b in batches:
+                for i in range(len(b)):
+                    r = b.slice(i, 1).to_pylist()[0]
+                    found = close_pairs(r["one"], r["two"], r["same"])
+                    if found:
+                        a, c = np.array(found, np.int64).T
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+        spark, key = self.spark, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        frame = map_arrow(pairs, run, "a long, b long")
+        before = spark.conf.get(key)
+        spark.conf.set(key, "8")  # a row holds two blocks
+        try:
+            return self.scratch.save(frame.distinct(), "block-pairs")
+        finally:
+            spark.conf.set(key, before)
+
     def _all_links(self) -> DataFrame:
         out = self.links[0]
         for more in self.links[1:]:
@@ -232,10 +313,11 @@ class JaccardJoin:
         total = state.agg(F.sum(F.when(F.col("main"), 0).otherwise(F.col("all"))), F.count("*")).first()
         return state, total[0] or 0, total[1]
 
-    def _verify(self, pairs: DataFrame, name: str, but: DataFrame | None = None) -> DataFrame:
-        """Adds the links among candidate pairs (x, y: structs of key, n, pos); returns the pairs that were tried."""
+    def _verify(self, pairs: DataFrame, name: str, but: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+        """Adds the links among candidate pairs (x, y: structs of key, n, pos; more: pairs a, b that passed the bounds); returns the pairs that were tried."""
         scratch, spark = self.scratch, self.spark
-        pairs = pairs.where(_possible("x", "y")).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        pairs = pairs.where(_possible("x", "y")).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        pairs = (pairs if more is None else pairs.unionByName(more)).distinct()
         if but is not None:
             pairs = pairs.join(but, ["a", "b"], "left_anti")
         tried = scratch.save(pairs, f"{name}-pairs")
@@ -262,7 +344,7 @@ class JaccardJoin:
             texts = texts.unionByName(self.docs.where("doc_id is null"))
 
         def sets(batches):
-            for _, ts in chunks(batches, "text"):
+            for _, ts in chunks(batches, "text", CHUNK):
                 made = [s for s in shingle_sets(ts) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["key", "items"])
 
@@ -289,3 +371,9 @@ class JaccardJoin:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the least doc_id that its links reach."""
     return JaccardJoin(df, id_col, text_col).run()
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the least id of each group; all columns stay, and so do rows with a null id."""
+    found = near_duplicates(df, id_col, text_col)
+    return without_ids(df, found.where("doc_id <> component_id").select("doc_id").distinct(), id_col)

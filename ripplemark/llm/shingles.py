@@ -39,14 +39,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if len(data) > len(_UP):
-        _UP, _DOWN = _powers(2 * len(data))
+        _UP, _DOWN = _powers(len(data) + (len(data) >> 2))
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     starts, ends = edge[::2], edge[1::2]
     if len(edge) % 2:  # the last edge is the end of the data
         ends = np.append(ends, len(data))[: len(starts)]
-    values = np.where(space, np.uint64(0), _BYTE[data] * _UP[: len(data)])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_BYTE[data], _UP[: len(data)], out=total[1:])
+    total[1:][space] = 0
+    np.cumsum(total, out=total)
     hashes = mix((total[ends] - total[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, bounds)
