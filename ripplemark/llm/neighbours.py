@@ -31,7 +31,7 @@ from ripplemark.llm.common import Scratch, map_arrow, ship
 #: Rows of the sample on which directions are fitted, about.
 SAMPLE = 8_192
 #: Directions of a curve, bits of each, orderings, and rows on either side of a query in a window.
-DIRECTIONS, BITS, ORDERINGS, BESIDE = 6, 8, 3, 48
+DIRECTIONS, BITS, ORDERINGS, BESIDE = 6, 8, 4, 256
 #: Rows of a block, and queries of a block.
 BLOCK = 1_024
 
@@ -185,8 +185,8 @@ def _windows(batches: Iterator[pa.RecordBatch], every: int, k: int) -> Iterator[
             a, b = max(0, q - BESIDE), min(len(ids), q + BESIDE + 1)
             near = np.r_[a:q, q + 1 : b]
             if len(near):
-                scores = inner(np.broadcast_to(v[q], (len(near), v.shape[1])), v[near])
-                best = near[_best(scores, ids[near], k)]
+                rough = v[near] @ v[q]  # ranks the window; what is passed on is scored exactly
+                best = near[_best(rough, ids[near], k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), rows[q])), pa.array(np.full(len(best), ids[q])), pa.array(ids[best]), pa.array(rows[best]), pa.array(inner(np.broadcast_to(v[q], (len(best), v.shape[1])), v[best]))], schema=_FOUND)
         keep = max(0, end - BESIDE)
         held[:] = [(ids[keep:], rows[keep:], v[keep:])]
@@ -231,35 +231,70 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"q_ids": t.column("vec_id").to_numpy().tobytes(), "q_rows": t.column("row").to_numpy().tobytes(), "q": v.tobytes(), "bounds": t.column("bound").to_numpy().tobytes()}])
 
 
+class _Lists:
+    """The best k rows found so far for each query of a block, in one task."""
+
+    def __init__(self, r: dict, size: int, k: int):
+        self.k = k
+        self.q = np.frombuffer(r["q"]).reshape(-1, size)
+        self.q_ids, self.q_rows = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"], np.int64)
+        self.norms = np.sqrt((self.q * self.q).sum(axis=1))
+        self.bounds = np.frombuffer(r["bounds"]).copy()
+        shape = (len(self.q), k)
+        self.scores, self.ids, self.rows = np.full(shape, -np.inf), np.full(shape, 2**63 - 1), np.full(shape, -1)
+
+    def add(self, r: dict) -> None:
+        """Compare with a block of rows; queries that it cannot reach are left out."""
+        ids, rows = np.frombuffer(r["vec_ids"], np.int64), np.frombuffer(r["rows"], np.int64)
+        m = np.frombuffer(r["m"]).reshape(len(ids), -1)
+        slack = 1e-9 * (1 + np.abs(self.q).max() * np.abs(m).max() * m.shape[1])
+        most = self.q @ np.frombuffer(r["centre"]) + r["radius"] * self.norms
+        open_ = np.flatnonzero(most + slack >= self.bounds)
+        if not len(open_):
+            return
+        rough = self.q[open_] @ m.T
+        rough[self.q_rows[open_][:, None] == rows[None, :]] = -np.inf
+        least = self.bounds[open_]
+        if rough.shape[1] > self.k:
+            least = np.maximum(least, np.partition(rough, rough.shape[1] - self.k, axis=1)[:, -self.k])
+        at, col = np.nonzero((rough >= least[:, None] - slack) & np.isfinite(rough))
+        if not len(at):
+            return
+        # exact scores decide, in one order with what was found before; equal scores go to the smaller id
+        touched = np.unique(at)
+        old = open_[touched]
+        place = np.concatenate([np.repeat(np.arange(len(old)), self.k), np.searchsorted(touched, at)])
+        scores = np.concatenate([self.scores[old].ravel(), inner(self.q[open_[at]], m[col])])
+        ids_, rows_ = np.concatenate([self.ids[old].ravel(), ids[col]]), np.concatenate([self.rows[old].ravel(), rows[col]])
+        order = np.lexsort((rows_, ids_, -scores, place))
+        first = np.searchsorted(place[order], np.arange(len(old)))
+        best = order[first[:, None] + np.arange(self.k)[None, :]]
+        self.scores[old], self.ids[old], self.rows[old] = scores[best], ids_[best], rows_[best]
+        self.bounds[old] = np.maximum(self.bounds[old], self.scores[old, -1])
+
+    def found(self) -> pa.RecordBatch:
+        at, col = np.nonzero(self.rows >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(self.q_rows[at]), pa.array(self.q_ids[at]), pa.array(self.ids[at, col]), pa.array(self.rows[at, col]), pa.array(self.scores[at, col])], schema=_FOUND)
+
+
+#: Queries whose lists a task holds before it passes them on.
+HELD = 100_000
+
+
 def _compare(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The best k rows of each block of rows for each query that the block can reach; a block's rows are few, so results stay small."""
+    """The best k rows, of the row blocks that a task reads, for each query that they can reach."""
+    held: dict[bytes, _Lists] = {}
     for b in batches:
-        for r in b.to_pylist():
-            ids, rows = np.frombuffer(r["vec_ids"], np.int64), np.frombuffer(r["rows"], np.int64)
-            m, q = np.frombuffer(r["m"]).reshape(-1, size), np.frombuffer(r["q"]).reshape(-1, size)
-            q_ids, q_rows, bounds = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["bounds"])
-            slack = 1e-9 * (1 + np.abs(q).max() * np.abs(m).max() * size)
-            most = q @ np.frombuffer(r["centre"]) + r["radius"] * np.sqrt((q * q).sum(axis=1))
-            open_ = np.flatnonzero(most + slack >= bounds)
-            if not len(open_):
-                continue
-            rough = q[open_] @ m.T
-            rough[q_rows[open_][:, None] == rows[None, :]] = -np.inf
-            if rough.shape[1] > k:
-                kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k]
-                least = np.maximum(kth, bounds[open_]) - slack
-            else:
-                least = bounds[open_] - slack
-            at, col = np.nonzero((rough >= least[:, None]) & np.isfinite(rough))
-            if not len(at):
-                continue
-            scores = inner(q[open_[at]], m[col])
-            order = np.lexsort((rows[col], ids[col], -scores, at))
-            at, col, scores = at[order], col[order], scores[order]
-            first = np.searchsorted(at, at)
-            keep = np.arange(len(at)) - first < k
-            at, col, scores = at[keep], col[keep], scores[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(q_rows[open_[at]]), pa.array(q_ids[open_[at]]), pa.array(ids[col]), pa.array(rows[col]), pa.array(scores)], schema=_FOUND)
+        for i in range(len(b)):
+            r = b.slice(i, 1).to_pylist()[0]
+            key = r["q_rows"]
+            if key not in held:
+                if sum(len(x.q) for x in held.values()) >= HELD:
+                    yield from (x.found() for x in held.values())
+                    held.clear()
+                held[key] = _Lists(r, size, k)
+            held[key].add(r)
+    yield from (x.found() for x in held.values())
 
 
 def oracle_sql(k: int = 20, every: int = 20) -> str:
