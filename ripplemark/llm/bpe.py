@@ -95,6 +95,11 @@ class MergeAutomaton:
         self.spelled = spelled
         self.length = np.array([len(s) for s in spelled], np.int32)
         self.taken = ArcTable(self.opened_by[256:], self.inherits[256:], np.arange(256, n))
+        # a merge whose arc b was gone from the state after a when its turn came never opens its token
+        opened = self.has_arc(self.opened_by[256:], self.inherits[256:], np.arange(256, n, dtype=np.int32))
+        self.live = np.ones(n, bool)
+        for c, (a, b) in enumerate(merges, 256):
+            self.live[c] = opened[c - 256] and self.live[a] and self.live[b]
         self._spelling_table()
         self.flat = np.frombuffer(b"".join(spelled), np.uint8)
         self.flat_at = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
@@ -104,6 +109,8 @@ class MergeAutomaton:
         children: list[dict[int, int]] = [{}]
         token_at, parent, by_depth = [-1], [0], [[0]]
         for t, word in enumerate(self.spelled):
+            if not self.live[t]:
+                continue
             node = 0
             for depth, byte in enumerate(word, 1):
                 nxt = children[node].get(byte)
@@ -134,11 +141,11 @@ class MergeAutomaton:
                     fail[child] = self.goto[node, byte] if node else 0
                     self.goto[node, byte] = child
 
-    def has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Whether the state after ``state`` can read ``token``: gadgets are undone from the latest back."""
+    def has_arc(self, state: np.ndarray, token: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the state after ``state`` can read ``token``: gadgets are undone from the latest back. before: as it was before these merges."""
         out = np.ones(len(state), bool)
         at, x, y = np.arange(len(state)), state.copy(), token.copy()
-        bound = np.full(len(state), len(self.ids), np.int32)
+        bound = np.full(len(state), len(self.ids), np.int32) if before is None else before
         while len(at):
             gone = self.taken.get(x, y, len(self.ids)) < bound
             out[at[gone]] = False
