@@ -34,8 +34,8 @@ from ripplemark.llm.shingles import mix, shingle_sets
 
 #: Similar: SHARE hundredths of the union or more.
 SHARE = 80
-#: Buckets in which a task counts shingles, and the count from which a bucket is reported.
-COUNT_BITS, REPORTED = 22, 12
+#: Buckets in which a task counts shingles; those of REPORTED and 3 times the mean count or more are reported.
+COUNT_BITS, REPORTED = 24, 4
 #: Classes that one group of a frequent shingle holds about, at most.
 SALTED = 20_000
 #: Classes that share a shingle, above which they are compared in blocks.
@@ -132,7 +132,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     """doc_id, n, key, sketch of every text; and rows with bucket, count of frequent shingles (others null)."""
 
     def run(batches):
-        counts = np.zeros(1 << COUNT_BITS, np.int32)
+        counts = np.zeros(1 << COUNT_BITS, np.uint16)  # a task's documents; more of them than fit are no rarer
         seen: set[int] = set()
         names = ["doc_id", "n", "key", "sketch", "bucket", "count"]
         for part, texts in chunks(batches, "text", CHUNK):
@@ -141,15 +141,16 @@ def _profile(docs: DataFrame) -> DataFrame:
             for k, s in zip(keys, sets, strict=True):
                 if k not in seen:  # copies in a task count once
                     seen.add(k)
-                    np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+                    at = (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+                    counts[at] += counts[at] < 65_000
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none, none],
                 names,
             )
-        often = np.flatnonzero(counts >= REPORTED).astype(np.int32)
+        often = np.flatnonzero(counts >= REPORTED + 3 * counts.mean()).astype(np.int32)
         n = len(often)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often), pa.array(counts[often])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often), pa.array(counts[often].astype(np.int32))], names)
 
     return map_arrow(docs, run, "doc_id long, n int, key long, sketch binary, bucket int, count int")
 
@@ -159,8 +160,7 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
 
     def run(batches):
         buckets, counts = frequent.value
-        rank = np.zeros(1 << COUNT_BITS, np.int32)
-        rank[buckets] = counts
+        buckets, counts = np.append(buckets, np.int32(1 << COUNT_BITS)), np.append(counts, np.int32(0))
         seen: set[int] = set()
         for _, texts in chunks(batches, "text", CHUNK):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -172,7 +172,9 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
                     continue
                 seen.add(key)
                 n, p = len(s), prefix_length(len(s))
-                often = rank[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                own = (s >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+                place = np.searchsorted(buckets, own)
+                often = np.where(buckets[place] == own, counts[place], 0)
                 order = np.lexsort((s, often))[:p]
                 salt = (key & 0x7FFFFFFF) % (1 + often[order] // SALTED)
                 for c, x in zip(columns, (_signed(s[order]), salt, np.full(p, key), np.full(p, n), np.arange(p)), strict=True):
@@ -206,8 +208,9 @@ class JaccardJoin:
         scratch = self.scratch
         profile = scratch.save(_profile(self.docs), "profile")
         own = profile.where("bucket is null")
-        found = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).collect()  # at most 2 ** COUNT_BITS rows
-        frequent = self.spark.sparkContext.broadcast((np.array([r["bucket"] for r in found], np.int32), np.array([min(r["count"], 2**31 - 1) for r in found], np.int32)))
+        found = profile.where("bucket is not null").groupBy("bucket").agg(F.least(F.sum("count"), F.lit(2**31 - 1)).cast("int").alias("count")).toPandas()  # at most 2 ** COUNT_BITS rows of 8 bytes, mostly some thousands
+        found = found.sort_values("bucket")
+        frequent = self.spark.sparkContext.broadcast((found["bucket"].to_numpy(np.int32), found["count"].to_numpy(np.int32)))
         classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = scratch.save(classes, "classes")
         self._groups(frequent)
