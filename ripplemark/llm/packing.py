@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ripplemark.llm.common import Scratch, chunks, id_text, map_arrow
 
 #: Pieces on an island.
-ISLAND = 16_384
+ISLAND = 65_536
 #: Islands whose migrants meet on one island of the next epoch.
 MERGED = 64
 POPULATION, GENERATIONS = 4, 8
