@@ -37,7 +37,7 @@ MOST_PIECE = 8
 #: Buckets for letters that are no piece.
 OTHER = 1024
 #: Words that a worker remembers.
-CACHE = 300_000
+CACHE = 120_000
 UNKNOWN = "und"
 #: Evidence counts as from so many words at most when a score is made of it.
 SCORE_WORDS = 30
