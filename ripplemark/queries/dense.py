@@ -222,3 +222,22 @@ def mixture_threshold(spark, d):
     v = T.table(spark, d, "events").select(F.round(F.ln("value"), 3).alias("v")).groupBy("v").count().orderBy("v").collect()
     t = E.mixture_threshold(np.array([r["v"] for r in v]), np.array([r["count"] for r in v], float))
     return rounded(spark.createDataFrame([(t, len(v))], "threshold double, distinct_values long"))
+
+
+@query("glm_prepared")
+def glm_prepared(spark, d):
+    from ripplemark.plans.prepared import Prepared, fit_prepared
+
+    ds = designs()
+    roles = {n: "task" if n in ("a", "b") else "intercept" if n == "constant" else "nuisance" for n in ds[0].names}
+    prepared = Prepared({r: x.matrix for r, x in ds.items()}, {r: x.names for r, x in ds.items()}, roles)
+    return rounded(fit_prepared(packed_events(spark, d), prepared, {"a": "a", "a-b": "a - b"}))
+
+
+@query("denoise_select")
+def denoise_select(spark, d):
+    from ripplemark.operators.denoising import select_components
+
+    task = {r: t for r, (t, _) in _task().items()}
+    found = select_components(packed_events(spark, d), task, nuisances(), counts=(0, 1, 2, 3), threshold=0.0005)
+    return rounded(found.scores.withColumn("chosen", F.col("count") == found.count), 8)
