@@ -53,26 +53,26 @@ def block_scan(spark, d):
 # -- sums of squares and pooling --
 
 
-@query("sums_of_squares", f"WITH {SIGNAL} SELECT run, feature, round(sum((y - 40 * x) ** 2), 2) AS sse, round(CASE WHEN max(y) = min(y) THEN 0 ELSE var_pop(y) * count(*) END, 2) AS sst, count(*) AS n FROM signal GROUP BY ALL")
+@query("sums_of_squares", f"WITH {SIGNAL} SELECT run, feature, round(sum((y - 40 * x) ** 2), 4) AS sse, round(CASE WHEN max(y) = min(y) THEN 0 ELSE var_pop(y) * count(*) END, 4) AS sst, count(*) AS n FROM signal GROUP BY ALL")
 def sums_of_squares(spark, d):
     s = T.event_signal(spark, d).withColumn("fitted", 40 * F.col("x"))
-    return rounded(A.sums_of_squares(s, ["run", "feature"]), 2)
+    return rounded(A.sums_of_squares(s, ["run", "feature"]), 4)
 
 
 @query("pooled_r2", f"""WITH {SIGNAL}, s AS (SELECT run, feature, sum((y - 245 * x) ** 2) AS sse, var_pop(y) * count(*) AS sst FROM signal GROUP BY ALL)
-SELECT feature, round(sum(sse), 2) AS sse, round(sum(sst), 2) AS sst, round(CASE WHEN sum(sst) > 0 THEN 1 - sum(sse) / sum(sst) END, 8) AS r2 FROM s GROUP BY feature""")
+SELECT feature, round(sum(sse), 4) AS sse, round(sum(sst), 4) AS sst, round(CASE WHEN sum(sst) > 0 THEN 1 - sum(sse) / sum(sst) END, 8) AS r2 FROM s GROUP BY feature""")
 def pooled_r2(spark, d):
     s = T.event_signal(spark, d).withColumn("fitted", 245 * F.col("x"))
     out = A.pooled_r2(A.sums_of_squares(s, ["run", "feature"]), ["feature"])
-    return rounded(rounded(out, 2, "sse", "sst"), 8, "r2")
+    return rounded(rounded(out, 4, "sse", "sst"), 8, "r2")
 
 
 @query("sufficient_stats", f"""WITH {SIGNAL}, k AS (SELECT *, 1.0 AS one FROM signal)
-SELECT run, feature, round(sum(x * x), 4) AS a_0_0, round(sum(x * one), 4) AS a_0_1, round(sum(one * one), 4) AS a_1_1, round(sum(x * y), 2) AS b_0, round(sum(y), 2) AS b_1, round(sum(y * y), 2) AS c, count(*) AS n
+SELECT run, feature, round(sum(x * x), 4) AS a_0_0, round(sum(x * one), 4) AS a_0_1, round(sum(one * one), 4) AS a_1_1, round(sum(x * y), 4) AS b_0, round(sum(y), 4) AS b_1, round(sum(y * y), 4) AS c, count(*) AS n
 FROM k GROUP BY run, feature""")
 def sufficient_stats(spark, d):
     s = T.event_signal(spark, d).withColumn("one", F.lit(1.0))
-    return rounded(rounded(A.sufficient_statistics(s, ["run", "feature"], ["x", "one"]), 4, "a_0_0", "a_0_1", "a_1_1"), 2, "b_0", "b_1", "c")
+    return rounded(rounded(A.sufficient_statistics(s, ["run", "feature"], ["x", "one"]), 4, "a_0_0", "a_0_1", "a_1_1"), 4, "b_0", "b_1", "c")
 
 
 @query("finite_summary", f"WITH {VECTORS} SELECT run, round(avg(y), 8) AS mean, count(y) AS n, round(var_samp(y), 8) AS variance, round(median(y), 8) AS median FROM vec GROUP BY run")
@@ -165,9 +165,9 @@ def binomial_count(spark, d):
 
 
 @query("lag_moments", f"""WITH {SIGNAL}, l AS (SELECT run, feature, y, lag(y) OVER (PARTITION BY run, feature ORDER BY scan) AS b FROM signal)
-SELECT run, feature, round(sum(y * b), 2) AS m1, round(sum(b * b), 2) AS m0, round(sum(y * b) / sum(b * b), 8) AS ratio FROM l GROUP BY ALL""")
+SELECT run, feature, round(sum(y * b), 4) AS m1, round(sum(b * b), 4) AS m0, round(sum(y * b) / sum(b * b), 8) AS ratio FROM l GROUP BY ALL""")
 def lag_moments(spark, d):
-    return rounded(rounded(W.lag_moments(T.event_signal(spark, d), ["run", "feature"]), 2, "m1", "m0"), 8, "ratio")
+    return rounded(rounded(W.lag_moments(T.event_signal(spark, d), ["run", "feature"]), 4, "m1", "m0"), 8, "ratio")
 
 
 @query("whiten_ar1", f"""WITH {SIGNAL}, l AS (SELECT run, scan, feature, y, lag(y) OVER (PARTITION BY run, feature ORDER BY scan) AS b FROM signal)

@@ -30,7 +30,7 @@ def trial_regressors(spark, d):
 
 
 @query("condition_columns", f"""WITH {TRIALS}, {_KERNEL}, box AS (SELECT run, trial_type, ceil(onset / 3600 * {_OVER} - 1e-9)::INTEGER AS a, sum(response_time) AS w FROM et GROUP BY ALL),
-rows AS (SELECT run, trial_type, a, w, unnest(range(ceil(a / {_OVER}.0)::INTEGER, least(719, floor((a + 9 + {_SIZE}) / {_OVER}.0))::INTEGER + 1))::INTEGER AS scan FROM box),
+rows AS (SELECT run, trial_type, a, w, unnest(range(ceil(a / {_OVER}.0)::INTEGER, least(719, floor((a + 8 + {_SIZE}) / {_OVER}.0))::INTEGER + 1))::INTEGER AS scan FROM box),
 j AS (SELECT unnest(range({_SIZE} + 7))::INTEGER AS j), pk AS (SELECT max(h.p - l.p) AS peak FROM j JOIN pre h ON h.place = least(j + 1, {_SIZE}) JOIN pre l ON l.place = greatest(0, j - 7))
 SELECT rows.run, rows.scan, rows.trial_type, round(sum(w / peak * (h.p - l.p)), 4) + 0.0 AS x FROM rows, pk
 JOIN pre h ON h.place = greatest(0, least({_SIZE}, rows.scan * {_OVER} - a + 1)) JOIN pre l ON l.place = greatest(0, least({_SIZE}, rows.scan * {_OVER} - a - 7)) GROUP BY ALL

@@ -102,9 +102,9 @@ def _stats(spark, d):
     return R.candidate_statistics(s, _regressors(s))
 
 
-@query("candidate_stats", f"WITH {SIGNAL}, {_CANDIDATES} SELECT run, candidate, feature, round(a, 4) AS a, round(b, 2) AS b, round(c, 2) AS c FROM st")
+@query("candidate_stats", f"WITH {SIGNAL}, {_CANDIDATES} SELECT run, candidate, feature, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM st")
 def candidate_stats(spark, d):
-    return rounded(rounded(_stats(spark, d), 4, "a"), 2, "b", "c")
+    return rounded(_stats(spark, d), 6)
 
 
 @query("loro_r2", f"WITH {SIGNAL}, {_CANDIDATES}, {_LORO} SELECT candidate, feature, round(score, 8) AS score FROM sco")

@@ -350,11 +350,11 @@ def table_fingerprint(spark, d):
     return table_digest(T.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("online_moments", f"WITH {CELLS} SELECT run, feature, count(*) AS n, round(sum(x * y), 2) AS xy, round(sum(y * y), 2) AS yy FROM cells GROUP BY ALL")
+@query("online_moments", f"WITH {CELLS} SELECT run, feature, count(*) AS n, round(sum(x * y), 4) AS xy, round(sum(y * y), 4) AS yy FROM cells GROUP BY ALL")
 def online_moments(spark, d):
     from ripplemark.streaming.moments import moments
 
     m = moments(T.event_cells(spark, d), ["run", "feature"])
-    return rounded(m.select("run", "feature", "n", "xy", "yy"), 2)
+    return rounded(m.select("run", "feature", "n", "xy", "yy"), 4)
 
 
