@@ -154,6 +154,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int
     n = sum(patterns.values())
     share = min(STEPS, STEPS * most // max(1, n) + 1)
     sample = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(STEPS)) < share))
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"))  # an id that many rows share counts once
 
     def prepare(batches):
         for part, texts in chunks(batches, "text"):

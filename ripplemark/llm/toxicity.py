@@ -143,6 +143,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
         return Model({}, {})
     texts = id_text(documents).where("doc_id is not null and text is not null")
     sample = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")  # at most 2 x most ids
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id that many rows share counts once
     calibrating = crc_remainder("doc_id", 5) == 4
 
     counts = _counts(sample.where(~calibrating)).groupBy("first", "second").agg(
