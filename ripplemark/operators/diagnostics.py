@@ -89,3 +89,10 @@ def paired_equivalence(df: DataFrame, keys: Sequence[str], difference: str, marg
     lower, upper = F.try_divide(F.col("mean") + margin, se), F.try_divide(margin - F.col("mean"), se)
     out = s.select(*keys, "n", "mean", t_p(lower, F.col("n") - 1).alias("p_lower"), t_p(upper, F.col("n") - 1).alias("p_upper"))
     return out.withColumn("equivalent", F.greatest("p_lower", "p_upper") < alpha)
+
+
+def mean_interval(df: DataFrame, keys: Sequence[str], value: str, t_critical: float = 1.96) -> DataFrame:
+    """keys, n, mean, low, high: mean with an interval of so many standard errors."""
+    s = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    half = F.lit(t_critical) * F.col("sd") / F.sqrt("n")
+    return s.select(*keys, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
