@@ -183,7 +183,7 @@ class MergeAutomaton:
             last[at] = token
         counts = np.zeros(len(words), np.int64)
         ends = starts + lengths[order] - 1
-        back, live, sizes = ends.copy(), np.arange(len(words)), []
+        back, live = ends.copy(), np.arange(len(words))
         steps = []
         while len(live):
             t = last[back[live]]
@@ -191,7 +191,6 @@ class MergeAutomaton:
             counts[live] += 1
             back[live] -= self.length[t]
             live = live[back[live] >= starts[live]]
-        del sizes
         out_counts = np.zeros(len(words), np.int64)
         out_counts[order] = counts
         first = (np.cumsum(out_counts) - out_counts)[order]
@@ -238,7 +237,6 @@ class BytePairCodec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.store = [np.zeros(0, np.int32)]
         self.word_at: np.ndarray = np.zeros(0, np.int64)
         self.word_n: np.ndarray = np.zeros(0, np.int64)
         self.kept = np.zeros(0, np.int32)
