@@ -67,7 +67,7 @@ def pooled_r2(spark, d):
     return rounded(rounded(out, 4, "sse", "sst"), 8, "r2")
 
 
-@query("sufficient_stats", f"""WITH {SIGNAL}, k AS (SELECT *, 1.0 AS one FROM signal)
+@query("sufficient_stats", f"""WITH {SIGNAL}, k AS (SELECT *, 1.0::DOUBLE AS one FROM signal)
 SELECT run, feature, round(sum(x * x), 4) AS a_0_0, round(sum(x * one), 4) AS a_0_1, round(sum(one * one), 4) AS a_1_1, round(sum(x * y), 4) AS b_0, round(sum(y), 4) AS b_1, round(sum(y * y), 4) AS c, count(*) AS n
 FROM k GROUP BY run, feature""")
 def sufficient_stats(spark, d):

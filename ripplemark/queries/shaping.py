@@ -13,7 +13,7 @@ from ripplemark.sources import tables as T
 
 # -- filters and checks --
 
-_STARTS = "st AS (SELECT run, 172800.0 + 3600.0 * run AS t0 FROM (SELECT DISTINCT run FROM et))"
+_STARTS = "st AS (SELECT run, (172800.0 + 3600.0 * run)::DOUBLE AS t0 FROM (SELECT DISTINCT run FROM et))"
 
 
 def _starts(e):
@@ -44,7 +44,7 @@ def confound_select(spark, d):
     return rounded(e.groupBy("event_type").agg(F.count("k").alias("n"), F.avg("k").alias("mean")))
 
 
-@query("acompcor_top6", "SELECT brand, name, place FROM (SELECT p_brand AS brand, p_name AS name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place <= 6")
+@query("acompcor_top6", "SELECT brand, name, place::INTEGER AS place FROM (SELECT p_brand AS brand, p_name AS name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place <= 6")
 def acompcor_top6(spark, d):
     p = T.table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_retailprice", "p_partkey", F.col("p_name").alias("name"))
     return S.best_ranked(p, ["brand"], "p_retailprice", "p_partkey", 6).select("brand", "name", "place")
