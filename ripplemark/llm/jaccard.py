@@ -156,7 +156,10 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent) -> DataFrame:
-    """gram, salt, key, n, pos: the rare-first prefix of every class. frequent: broadcast buckets and counts."""
+    """gram, salt, key, n, pos: the rare-first prefix of every class. frequent: broadcast buckets and counts.
+
+    salt: from 1 for shingles that are split into several groups, 0 for others.
+    """
 
     def run(batches):
         buckets, counts = frequent.value
@@ -176,7 +179,8 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
                 place = np.searchsorted(buckets, own)
                 often = np.where(buckets[place] == own, counts[place], 0)
                 order = np.lexsort((s, often))[:p]
-                salt = (key & 0x7FFFFFFF) % (1 + often[order] // SALTED)
+                salts = 1 + often[order] // SALTED
+                salt = np.where(salts > 1, 1 + (key & 0x7FFFFFFF) % salts, 0)
                 for c, x in zip(columns, (_signed(s[order]), salt, np.full(p, key), np.full(p, n), np.arange(p)), strict=True):
                     c.append(x)
             if columns[0]:
@@ -309,7 +313,7 @@ class JaccardJoin:
         rows = self.grouped.select("gram", "salt", "key", "n", "pos").join(comp, F.col("key") == F.col("node"), "left")
         rows = rows.select("gram", "salt", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
         sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"), F.max("salt").alias("s"))
-        grams = sizes.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"), (F.max("s") + 1).alias("salts")).where("parts > 1")
+        grams = sizes.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"), F.greatest(F.max("s"), F.lit(1)).alias("salts")).where("parts > 1")
         state = rows.join(grams, "gram").select("gram", "key", "n", "pos", "component", (F.col("component") == F.col("top.component")).alias("main"), F.col("all"), "salts")
         state = self.scratch.save(state, f"open{k}")
         self.scratch.drop(f"open{k - 1}")

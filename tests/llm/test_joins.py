@@ -108,6 +108,20 @@ def test_salted_shingles(spark, monkeypatch):
     assert run(spark, texts) == brute_components(texts)
 
 
+def test_salted_shingle_with_one_class_in_its_first_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REPORTED", 0)
+    monkeypatch.setattr(jaccard, "SALTED", 3)
+    passage = " ".join(f"p{i}" for i in range(100))
+    long = [f"{passage} " + " ".join(f"l{k}x{i}" for i in range(500)) for k in range(6)]  # the passage is in no prefix of these
+    by = {}
+    for k in range(40):  # 8 texts hold the passage, so its shingles have 3 salts
+        t = f"{passage} " + " ".join(f"s{k}x{i}" for i in range(10))
+        by.setdefault((jaccard.set_key(shingle_sets([t])[0]) & 0x7FFFFFFF) % 3, t)
+    texts = [by[0], by[1], *long]
+    assert brute_components(texts)[1][1] == 0
+    assert run(spark, texts) == brute_components(texts)
+
+
 def test_nulls_and_repeats(spark):
     rows = [(5, "a b c d e f", 1), (None, "a b c d e f", 1), (3, None, 1), (7, "", 1), (7, "a b c d e f", 1), (9, "z " * 60_000, 1), (10, "z " * 60_001, 1), (None, "alone here", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
