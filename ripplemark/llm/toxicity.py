@@ -19,7 +19,6 @@ an empty result; with labels of one class only (or none) every score is 0.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from itertools import repeat
 
@@ -74,10 +73,11 @@ def kneser_ney(bigrams: list[tuple[str, str, int, int]], unigrams: list[tuple[st
 
     unigrams: (word, toxic count, ordinary count, pairs that end in it: toxic, ordinary, both);
     bigrams: (first, second, toxic count, ordinary count), a count being of distinct words before the pair;
-    totals: types and tokens of the classes. Both lists hold only expressions that stand out.
+    totals: types and tokens of the classes, and heads: first words with the sums of those counts over all their pairs, and the
+    numbers of their pairs (toxic, ordinary); seconds: words with the pairs of either class that end in them. Both lists hold only expressions that stand out.
     """
     words: dict[str, float] = {}
-    n_t, n_o = totals["tokens_t"], totals["tokens_o"]
+    seconds = totals.get("seconds", {})
     single: dict[str, tuple[float, float]] = {}
     for w, c_t, c_o, e_t, e_o, e in unigrams:
         p_shared = max(1, e) / totals["types"]
@@ -90,7 +90,7 @@ def kneser_ney(bigrams: list[tuple[str, str, int, int]], unigrams: list[tuple[st
         h_t, h_o, f_t, f_o = totals["heads"].get(a, (0, 0, 0, 0))
         if not h_t or not h_o:
             continue
-        p_t, p_o = single.get(b, (max(1, c_t + c_o) / (n_t + n_o),) * 2)
+        p_t, p_o = single.get(b) or (max(1, seconds[b]) / totals["types"],) * 2
         q_t = (max(c_t - DISCOUNT, 0) + DISCOUNT * f_t * p_t) / h_t
         q_o = (max(c_o - DISCOUNT, 0) + DISCOUNT * f_o * p_o) / h_o
         extra = math.log(q_t / q_o) - words.get(b, 0.0)
@@ -99,38 +99,28 @@ def kneser_ney(bigrams: list[tuple[str, str, int, int]], unigrams: list[tuple[st
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """first, second, toxic, n, before: bigrams of the sample, summed in each task before they are shuffled.
-
-    before: a bit for each of 64 hashes of the words before the bigram.
-    """
+    """before, first, second, toxic, n: bigrams of the sample with the word before them, summed in each task before they are shuffled."""
 
     def run(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        before: dict[int, dict] = {0: {}, 1: {}}
 
         def out():
             for toxic, counter in seen.items():
                 if counter:
-                    keys, masks = list(counter), before[toxic]
-                    signed = [(masks.get(k, 0) + 2**63) % 2**64 - 2**63 for k in keys]
-                    columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([toxic] * len(keys), pa.int32())]
-                    columns += [pa.array(list(counter.values()), pa.int64()), pa.array(signed, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["first", "second", "toxic", "n", "before"])
+                    before, first, second = zip(*counter, strict=True)
+                    columns = [pa.array(before), pa.array(first), pa.array(second), pa.array([toxic] * len(counter), pa.int32()), pa.array(list(counter.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["before", "first", "second", "toxic", "n"])
                     counter.clear()
-                    masks.clear()
 
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = words_of(text or "")
-                pairs, masks = list(zip(["", *words], words)), before[int(toxic)]  # noqa: B905
-                seen[int(toxic)].update(pairs)
-                for w, pair in zip(["", "", *words], pairs):  # noqa: B905
-                    masks[pair] = masks.get(pair, 0) | 1 << (zlib.crc32(w.encode()) & 63)
+                seen[int(toxic)].update(zip(["", "", *words], ["", *words], words))  # noqa: B905
             if sum(map(len, seen.values())) > 300_000:
                 yield from out()
         yield from out()
 
-    return map_arrow(sample.select("text", "toxic"), run, "first string, second string, toxic int, n long, before long")
+    return map_arrow(sample.select("text", "toxic"), run, "before string, first string, second string, toxic int, n long")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
@@ -146,32 +136,35 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id that many rows share counts once
     calibrating = crc_remainder("doc_id", 5) == 4
 
-    counts = _counts(sample.where(~calibrating)).groupBy("first", "second").agg(
-        *(F.sum(F.when(F.col("toxic") == v, F.col("n")).otherwise(0)).alias(c) for c, v in (("t", 1), ("o", 0))),
-        *(F.bit_count(F.bit_or(F.when(F.col("toxic") == v, F.col("before")).otherwise(F.lit(0).cast("long")))).alias(f"before_{c}") for c, v in (("t", 1), ("o", 0))),
+    triples = _counts(sample.where(~calibrating)).groupBy("before", "first", "second").agg(*(F.sum(F.when(F.col("toxic") == v, F.col("n")).otherwise(0)).alias(c) for c, v in (("t", 1), ("o", 0))))
+    counts = triples.groupBy("first", "second").agg(
+        *(F.sum(c).alias(c) for c in ("t", "o")),
+        *(F.sum((F.col(c) > 0).cast("int")).alias(f"before_{c}") for c in ("t", "o")),
     )
     counts = counts.persist()
     share_t, share_o = (F.col(c) > 0 for c in ("t", "o"))
     by_second = counts.groupBy("second").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum(share_t.cast("int")).alias("e_t"), F.sum(share_o.cast("int")).alias("e_o"), F.count("*").alias("e"))
+    kinds = counts.agg(F.sum("before_t"), F.sum("before_o")).first()
     total = by_second.agg(F.sum("t"), F.sum("o"), F.sum("e_t"), F.sum("e_o"), F.sum("e"), F.sum(share_t.cast("int")), F.sum(share_o.cast("int"))).first()
     if not total[0] or not total[1]:
         counts.unpersist()
         return Model({}, {})
     names = ("tokens_t", "tokens_o", "types_t", "types_o", "types", "words_t", "words_o")
     totals: dict = dict(zip(names, (int(x) for x in total), strict=True))
-    share = totals["types_t"] / (totals["types_t"] + totals["types_o"])
 
-    def clear(t: str, o: str):
+    def clear(t: str, o: str, all_t: int, all_o: int):
+        share = all_t / (all_t + all_o)
         both = F.col(t) + F.col(o)
         expected = both * F.lit(share)
         return (F.abs(F.col(t) - expected) >= F.lit(MIN_Z) * F.sqrt(expected * F.lit(1 - share))) & (both >= MIN_COUNT)
 
     # the expressions that stand out: their number is bounded by the tokens of the bounded sample / MIN_COUNT
-    unigrams = [tuple(r) for r in by_second.where(clear("e_t", "e_o")).select("second", "t", "o", "e_t", "e_o", "e").collect()]
-    standing = counts.where(clear("before_t", "before_o") & (F.col("first") != ""))
+    unigrams = [tuple(r) for r in by_second.where(clear("e_t", "e_o", totals["types_t"], totals["types_o"])).select("second", "t", "o", "e_t", "e_o", "e").collect()]
+    standing = counts.where(clear("before_t", "before_o", *kinds) & (F.col("first") != ""))
     bigrams = [tuple(r) for r in standing.select("first", "second", "before_t", "before_o").collect()]
-    heads = counts.groupBy("first").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum(share_t.cast("int")).alias("f_t"), F.sum(share_o.cast("int")).alias("f_o"))
+    heads = counts.groupBy("first").agg(F.sum("before_t").alias("t"), F.sum("before_o").alias("o"), F.sum(share_t.cast("int")).alias("f_t"), F.sum(share_o.cast("int")).alias("f_o"))
     totals["heads"] = {r[0]: tuple(r[1:]) for r in heads.join(standing.select("first").distinct(), "first", "left_semi").collect()}
+    totals["seconds"] = dict(by_second.join(standing.select("second").distinct(), "second", "left_semi").select("second", "e").collect())
     words, pairs = kneser_ney(bigrams, unigrams, totals)
     counts.unpersist()
 

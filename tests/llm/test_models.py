@@ -112,6 +112,20 @@ def test_copies_do_not_make_a_word_toxic(spark):
     assert "gardens" not in model.words
 
 
+def test_evidence_of_a_common_pair_is_not_capped(spark):
+    def code(i):
+        return "".join("abcdefghij"[int(d)] for d in str(i))
+
+    rows, labels = [], []
+    for i in range(400):  # 10 words before the pair in a toxic text, one in an ordinary one
+        toxic = i % 2
+        rows.append((i, " ".join(f"x{code(i)}y{code(j)} foo bar" if j < 1 + 9 * toxic else f"x{code(i)}y{code(j)} foo x{code(i)}z{code(j)} bar" for j in range(10)), "en", "s"))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.pairs["foo"]["bar"] > 1
+
+
 def test_kneser_ney_discount_shares_backoff():
     totals = {"tokens_t": 100, "tokens_o": 100, "types_t": 50, "types_o": 50, "types": 90, "words_t": 20, "words_o": 20, "heads": {"a": (10, 10, 5, 5)}}
     words, pairs = toxicity.kneser_ney([("a", "b", 9, 0)], [("b", 12, 1, 9, 1, 10)], totals)
