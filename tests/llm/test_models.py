@@ -109,29 +109,87 @@ def test_copies_do_not_make_a_word_toxic(spark):
     extra = [(2000 + i, "copied passage about gardens in spring", "en", "s") for i in range(300)]
     more = spark.createDataFrame([(2000 + i, 1, 1) for i in range(300)], labels.schema)
     model = toxicity.fit(docs.union(spark.createDataFrame(extra, docs.schema)), labels.union(more))
-    assert "gardens" not in model.words
-
-
-def test_evidence_of_a_common_pair_is_not_capped(spark):
-    def code(i):
-        return "".join("abcdefghij"[int(d)] for d in str(i))
-
-    rows, labels = [], []
-    for i in range(400):  # 10 words before the pair in a toxic text, one in an ordinary one
-        toxic = i % 2
-        rows.append((i, " ".join(f"x{code(i)}y{code(j)} foo bar" if j < 1 + 9 * toxic else f"x{code(i)}y{code(j)} foo x{code(i)}z{code(j)} bar" for j in range(10)), "en", "s"))
-        labels.append((i, 1, toxic))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
-    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert model.pairs["foo"]["bar"] > 1
-
-
-def test_kneser_ney_discount_shares_backoff():
-    totals = {"tokens_t": 100, "tokens_o": 100, "types_t": 50, "types_o": 50, "types": 90, "words_t": 20, "words_o": 20, "heads": {"a": (10, 10, 5, 5)}}
-    words, pairs = toxicity.kneser_ney([("a", "b", 9, 0)], [("b", 12, 1, 9, 1, 10)], totals)
-    shared = 10 / 90
-    want = np.log(((9 - 0.75 + 0.75 * 20 * shared) / 50) / ((1 - 0.75 + 0.75 * 20 * shared) / 50))
-    assert words["b"] == pytest.approx(want) and pairs["a"]["b"] > 0
+    assert "gardens" not in model.vocabulary
+
+
+def brute_model(texts, everywhere, step):
+    """P(word, head, class) of the model's definition, from sets; and its words."""
+    contexts = [set(), set()]
+    for text, toxic in texts:
+        w = toxicity.words_of(text)
+        contexts[toxic].update(zip(["", "", *w], ["", *w], w))  # noqa: B905
+    pairs = [Counter((b, c) for _, b, c in held) for held in contexts]
+    words = [Counter(b for _, b in p) for p in pairs]
+    documents = Counter(w for t in everywhere for w in set(toxicity.words_of(t)))
+    known = set(documents) | set(words[0]) | set(words[1])
+
+    def taken(counts, sums, cls):
+        both = min(c / n for c, n in zip(counts, sums, strict=True)) if all(sums) else 0
+        return min(counts[cls], both * sums[cls] + step * counts[cls] ** 0.5)
+
+    sums = [sum(c.values()) for c in words]
+    d = [{w: taken([words[0][w], words[1][w]], sums, c) for w in known} for c in (0, 1)]
+    mass = [sum(d[c].values()) / sums[c] for c in (0, 1)]
+    unknown = 1 / min(sums)
+    total = sum(mass) + 1 + unknown
+
+    def single(w, c):
+        if w not in known:
+            return mass[c] * unknown / total
+        return (words[c][w] - d[c][w]) / sums[c] + mass[c] * (d[0][w] / sums[0] + d[1][w] / sums[1] + documents[w] / sum(documents.values())) / total
+
+    heads = [Counter() for _ in (0, 1)]
+    for c in (0, 1):
+        for (v, _), n in pairs[c].items():
+            heads[c][v] += n
+
+    def conditional(w, v, c):
+        n = [heads[0][v], heads[1][v]]
+        if not n[c]:
+            return single(w, c)
+        left = sum(taken([pairs[0][v, x], pairs[1][v, x]], n, c) for x in known) / n[c]
+        return (pairs[c][v, w] - taken([pairs[0][v, w], pairs[1][v, w]], n, c)) / n[c] + left * single(w, c)
+
+    return conditional, known
+
+
+def test_kneser_ney_equals_brute_force_and_sums_to_one(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in itertools.product("abc", repeat=2)]
+    texts = [(" ".join(rng.choice(words, 30, p=np.arange(1, 10) / 45)) + (" vile wort" * 3 if i % 2 else ""), i % 2) for i in range(60)]
+    everywhere = [t for t, _ in texts] + ["aa bb unlabelled words", "", "aa aa"]
+    models = toxicity._word_tables(spark.createDataFrame([(t,) for t in everywhere], "text string"), spark.createDataFrame(texts, "text string, toxic int"))
+    assert len(models) == len(toxicity.STEPS)
+    for step, model in list(zip(toxicity.STEPS, models, strict=True))[:3]:
+        p, known = brute_model(texts, everywhere, step)
+        for v in ("", "aa", "vile", "unlabelled", "never"):
+            for c in (0, 1):
+                assert sum(p(w, v, c) for w in [*known, "never"]) == pytest.approx(1)
+        some = ["aa ab never vile wort wort unlabelled cc", "", "vile wort", texts[1][0]]
+        got, n = model.evidence(some)
+        for t, g, k in zip(some, got, n, strict=True):
+            w = toxicity.words_of(t)
+            want = sum(np.log(p(x, v, 1) / p(x, v, 0)) for v, x in zip(["", *w], w))  # noqa: B905
+            assert k == len(w) and g == pytest.approx(want, abs=1e-9)
+
+
+def test_a_pair_alike_in_both_classes_is_no_evidence(spark):
+    texts = [(f"w{chr(97 + i % 26)}x san francisco", 1) for i in range(26)] + [("the san francisco", 0), ("a san francisco", 0), ("in san francisco", 0)]
+    model = toxicity._word_tables(spark.createDataFrame([(t,) for t, _ in texts], "text string"), spark.createDataFrame(texts, "text string, toxic int"))[0]
+    alone, both = model.evidence(["san", "san francisco"])[0]
+    assert abs(both - alone) < 0.5
+
+
+def test_a_dozen_toxic_labels(spark):
+    docs, labels = toxic_table(spark)
+    few = labels.where("toxic = 0 and doc_id < 200 or toxic = 1 and doc_id < 72")
+    assert few.where("toxic = 1").count() == 12
+    rows = toxicity.score_documents(spark, docs, few).collect()
+    clean = [r["predicted"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 900 and r["doc_id"] % 6]
+    bad = [r["predicted"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 900 and r["doc_id"] % 6 == 0]
+    assert sum(clean) / len(clean) < 0.1 and sum(bad) / len(bad) > sum(clean) / len(clean)
+    long = spark.createDataFrame([(1, "vilewort " * 200_000), (1, None), (2, "word " * 200_000)], "doc_id long, text string")
+    assert toxicity.predict(long, toxicity.fit(docs, labels)).count() == 3
 
 
 def test_quality_em_and_scorer(spark, data):
