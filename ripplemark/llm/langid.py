@@ -1,27 +1,33 @@
 """Language identification by unigram pieces, summed over all segmentations of a text.
 
 The pieces are a fixed public vocabulary. Every language gets a probability for each piece; the
-probability of a word is the sum over all its segmentations into pieces, by the forward algorithm, and
-a text's is the product over its words (runs of letters, lower case, with a mark before them). Training is a
-step of expectation-maximisation: from a start that depends on the place in the vocabulary only, the
-expected number of uses of each piece over all segmentations (forward-backward), for each language.
+probability of a word is the sum over all its segmentations into pieces, by the forward algorithm in logarithms, and
+a text's is the product over its words (letters with the marks that follow them, lower case, with a word mark before them). A letter
+that is in no piece is spelt by the vocabulary's byte pieces, so every word has a probability. Training is
+expectation-maximisation: from a start that depends on the place in the vocabulary only, the expected number of uses of each
+piece over all segmentations (forward-backward) gives new probabilities for each language, until the likelihood settles. Each
+language's probabilities are smoothed by those that all languages share.
 
 Fitting takes at most ``TRAIN_DOCS`` documents of each language (a bounded sample, chosen by a hash of
-the id). Words longer than ``LONGEST`` letters are scored in parts of that length, so none is cut off.
+the id). Words of any length are scored whole.
 
-Null texts and texts without a letter are ``und`` with score 0. Rows with a null id are scored, and
+Null texts and texts without a letter are ``und`` with score 0; else the score is the language's posterior probability, all
+languages being equally likely before. Rows with a null id are scored, and
 never learnt from; repeated rows are scored alike. Ties go to the language that sorts first. An empty
 table gives an empty result; where nothing can be learnt, every text is ``und``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,46 +35,58 @@ from ripplemark.llm.common import chunks, crc_remainder, filter_rows, map_arrow,
 from ripplemark.llm.labelled import bounded_sample
 
 TRAIN_DOCS = 5_000
-LONGEST = 24
 MARK = "▁"
-WORD = regex.compile(r"\p{L}+")
-#: Pieces longer than this are not used.
-MOST_PIECE = 8
-#: Buckets for letters that are no piece.
-OTHER = 1024
-#: Words that a worker remembers.
-CACHE = 120_000
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+#: Byte pieces stand after all code points.
+BYTES = 0x110000
+#: Share of every language's probability that is spread evenly over the pieces.
+EVEN = 1e-4
+#: Uses that the shared probabilities count for.
+SHARED = 20.0
+#: Training ends when the log-likelihood of a word gains less than this, or after so many rounds.
+SETTLED, ROUNDS = 1e-3, 30
+#: Symbols (words x longest word) that are summed at once, and words that a worker remembers, if they have at most so many symbols.
+AT_ONCE, CACHE, SHORT = 60_000, 100_000, 64
 UNKNOWN = "und"
-#: Evidence counts as from so many words at most when a score is made of it.
-SCORE_WORDS = 30
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary with a hash table from substrings of words to pieces."""
+    """The vocabulary with a hash table from substrings of words to pieces.
+
+    A word is a sequence of symbols: the code points of its letters, or BYTES and more for the bytes of letters that are in no piece.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names: dict[str, int] = {}
+        names: dict[tuple[int, ...], int] = {}
         for i in range(model.vocab_size()):
-            name = model.id_to_piece(i).lower()
-            body = name.removeprefix(MARK)
-            if (name == MARK or body.isalpha()) and len(name) <= MOST_PIECE and not model.is_byte(i) and not model.is_control(i):
-                names.setdefault(name, len(names))
-        self.size = len(names) + OTHER
-        keys = np.array([self._hash(np.array([[ord(c) for c in n]], np.uint64))[0] for n in names], np.uint64)
+            name = model.id_to_piece(i)
+            if model.is_byte(i):
+                names.setdefault((BYTES + int(name[3:5], 16),), len(names))
+            elif not model.is_control(i) and not model.is_unknown(i):
+                name = name.lower()
+                if name == MARK or LETTERS.fullmatch(name.removeprefix(MARK)):
+                    names.setdefault(tuple(map(ord, name)), len(names))
+        self.letters = {x for n in names for x in n if x < BYTES}
+        for x in sorted(self.letters):
+            names.setdefault((x,), len(names))
+        for x in range(256):
+            names.setdefault((BYTES + x,), len(names))
+        self.names, self.size, self.longest = list(names), len(names), max(map(len, names))
+        keys = np.array([self._hash(np.array([n], np.uint64))[0] for n in names], np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], order.astype(np.int32)
-        bits = 20
+        bits = 18
         self.shift = np.uint64(64 - bits)
         self.slot_from = np.searchsorted(self.keys, np.arange((1 << bits) + 1, dtype=np.uint64)[:-1] << self.shift).astype(np.int32)
         self.slot_from = np.append(self.slot_from, len(self.keys)).astype(np.int32)
         self.most_in_slot = int(np.diff(self.slot_from).max())
         start = 1.0 / (np.arange(self.size) + 50.0)
-        start[len(names) :] = 1e-6 / OTHER
-        self.start = start / start.sum()
+        self.start = (1 - EVEN) * start / start.sum() + EVEN / self.size
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -97,79 +115,93 @@ class Pieces:
             at[live[hit]] = end[live[hit]]
         return out
 
-    def lattice(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece of each substring: lattice[l - 1][word, start], -1 where none; and the words' lengths. Longest word first."""
-        lengths = np.array([len(p) for p in parts], np.int64)
-        width = int(lengths.max())
-        codes = np.zeros((len(parts), width + MOST_PIECE), np.uint64)
-        flat = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-        rows = np.repeat(np.arange(len(parts)), lengths)
-        cols = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        codes[rows, cols] = flat
-        out = np.full((MOST_PIECE, len(parts), width), -1, np.int32)
-        h = np.zeros((len(parts), width), np.uint64)
-        for n in range(1, MOST_PIECE + 1):
-            h = self._add(h, codes[:, n - 1 : n - 1 + width])
-            inside = np.arange(width)[None, :] + n <= lengths[:, None]
-            out[n - 1][inside] = self.find(h[inside])
-        single = out[0]
-        alone = (single < 0) & (np.arange(width)[None, :] < lengths[:, None])
-        single[alone] = self.size - OTHER + (codes[:, :width][alone] % np.uint64(OTHER)).astype(np.int32)
-        return out, lengths
-
-
-def forward(lattice: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[j][word, language]: the sum over segmentations of the first j letters. p: languages x pieces."""
-    n, width = lattice.shape[1:]
-    alpha = np.zeros((width + 1, n, len(p)))
-    alpha[0] = 1.0
-    columns = np.ascontiguousarray(p.T)
-    for j in range(1, width + 1):
-        for size in range(1, min(MOST_PIECE, j) + 1):
-            piece = lattice[size - 1][:, j - size]
-            rows = np.flatnonzero(piece >= 0)
-            if len(rows):
-                alpha[j][rows] += alpha[j - size][rows] * columns[piece[rows]]
-    return alpha
-
-
-def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """languages x pieces: expected uses of the pieces under one start distribution. weights: words x languages."""
-    parts, owner = _parts(words)
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    parts, owner = [parts[i] for i in order], owner[order]
-    lattice, lengths = pieces.lattice(parts)
-    alpha = forward(lattice, lengths, p[None])[..., 0]
-    width = lattice.shape[2]
-    beta = np.zeros((width + 1, len(parts)))
-    beta[lengths, np.arange(len(parts))] = 1.0
-    for j in range(width - 1, -1, -1):
-        for size in range(1, min(MOST_PIECE, width - j) + 1):
-            piece = lattice[size - 1][:, j]
-            rows = np.flatnonzero(piece >= 0)
-            beta[j][rows] += p[piece[rows]] * beta[j + size][rows]
-    total = alpha[lengths, np.arange(len(parts))]
-    out = np.zeros((weights.shape[1], pieces.size))
-    for size in range(1, MOST_PIECE + 1):
-        for j in range(width - size + 1):
-            piece = lattice[size - 1][:, j]
-            rows = np.flatnonzero(piece >= 0)
-            if len(rows):
-                use = alpha[j][rows] * p[piece[rows]] * beta[j + size][rows] / total[rows]
-                for lang in range(weights.shape[1]):
-                    out[lang] += np.bincount(piece[rows], use * weights[owner[rows], lang], pieces.size)
-    return out
-
-
-def _parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Marked words in parts of at most LONGEST + 1 letters, and the word of each."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        w = MARK + w
-        for a in range(0, len(w), LONGEST + 1):
-            parts.append(w[a : a + LONGEST + 1])
-            owner.append(i)
-    return parts, np.array(owner, np.int64)
+    def symbols(self, word: str) -> list[int]:
+        """A marked word as symbols."""
+        out = []
+        for c in MARK + word:
+            if ord(c) in self.letters:
+                out.append(ord(c))
+            else:
+                out += [BYTES + x for x in c.encode("utf-8", "surrogatepass")]
+        return out
+
+    def batches(self, words: list[str]) -> Iterator[tuple[list[int], "Lattice"]]:
+        """Lattices of words of about the same length, of AT_ONCE symbols or one word, with the places of their words."""
+        spelt = [self.symbols(w) for w in words]
+        order = sorted(range(len(words)), key=lambda i: len(spelt[i]))
+        start = 0
+        for i in range(1, len(order) + 1):
+            if i == len(order) or (i + 1 - start) * len(spelt[order[i]]) > AT_ONCE:
+                yield order[start:i], Lattice(self, [spelt[k] for k in order[start:i]])
+                start = i
+
+
+class Lattice:
+    """All ways to cut words into pieces: an edge for each piece that stands somewhere in a word."""
+
+    def __init__(self, pieces: Pieces, words: list[list[int]]):
+        self.n = len(words)
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        width = self.width = int(self.lengths.max())
+        codes = np.zeros((self.n, width + pieces.longest), np.uint64)
+        codes[:, :width][np.arange(width)[None, :] < self.lengths[:, None]] = np.fromiter(itertools.chain.from_iterable(words), np.uint64)
+        row, begin, end, piece = [], [], [], []
+        at = np.flatnonzero((np.arange(width)[None, :] < self.lengths[:, None]).ravel())
+        r, c = np.divmod(at, width)
+        h = np.zeros(len(at), np.uint64)
+        for size in range(1, pieces.longest + 1):
+            inside = c + size <= self.lengths[r]
+            r, c, h = r[inside], c[inside], h[inside]
+            h = pieces._add(h, codes[r, c + size - 1])
+            found = pieces.find(h)
+            hit = found >= 0
+            row.append(r[hit])
+            begin.append(c[hit])
+            end.append(c[hit] + size)
+            piece.append(found[hit])
+        self.row, self.begin, self.end, self.piece = (np.concatenate(x) for x in (row, begin, end, piece))
+
+    def _sweep(self, logs: np.ndarray, by: np.ndarray, other: np.ndarray, first: np.ndarray, positions) -> np.ndarray:
+        """Sums over the edges at each position, taken in turn; first: where a word starts the sum."""
+        order = np.lexsort((self.row, by))
+        row, of, piece = self.row[order], other[order], self.piece[order]
+        bounds = np.searchsorted(by[order], np.arange(self.width + 2))
+        # the edges of one row and position are neighbours
+        out = np.full((self.width + 1, self.n, logs.shape[1]), -np.inf)
+        out[first, np.arange(self.n)] = 0.0
+        for j in positions:
+            a, b = bounds[j], bounds[j + 1]
+            if a == b:
+                continue
+            rows = row[a:b]
+            x = out[of[a:b], rows] + logs[piece[a:b]]
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))
+            if len(starts) == len(rows):
+                out[j, rows] = x
+                continue
+            top = np.maximum.reduceat(x, starts)
+            part = np.cumsum(np.diff(rows, prepend=rows[0]) != 0)
+            out[j, rows[starts]] = top + np.log(np.add.reduceat(np.exp(x - top[part]), starts))
+        return out
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """alpha[j, word, language]: log of the sum over segmentations of the first j symbols. logs: pieces x languages."""
+        return self._sweep(logs, self.end, self.begin, np.zeros(self.n, np.int64), range(1, self.width + 1))
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        """beta[j, word, language]: log of the sum over segmentations of what follows the first j symbols."""
+        return self._sweep(logs, self.begin, self.end, self.lengths, range(self.width - 1, -1, -1))
+
+    def totals(self, logs: np.ndarray) -> np.ndarray:
+        """Log-probabilities, words x languages."""
+        return self.forward(logs)[self.lengths, np.arange(self.n)]
+
+    def uses(self, logs: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+        """languages x pieces: expected uses over all segmentations; and the weighted log-likelihood. weights: words x languages."""
+        alpha, beta = self.forward(logs), self.backward(logs)
+        total = alpha[self.lengths, np.arange(self.n)]
+        use = np.exp(alpha[self.begin, self.row] + logs[self.piece] + beta[self.end, self.row] - total[self.row]) * weights[self.row]
+        return np.stack([np.bincount(self.piece, u, size) for u in use.T]), float((total * weights).sum())
 
 
 def words_of(text: str) -> list[str]:
@@ -182,10 +214,11 @@ def pieces_of(path: str) -> Pieces:
 
 
 class Scorer:
-    """Log-likelihoods of words for all languages, remembered in a worker."""
+    """Log-likelihoods of words for all languages; short ones are remembered in a worker."""
 
     def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
-        self.pieces, self.langs, self.p = pieces, langs, p
+        self.pieces, self.langs = pieces, langs
+        self.logs = np.ascontiguousarray(np.log(p).T)
         self._forget()
 
     def _forget(self) -> None:
@@ -195,83 +228,109 @@ class Scorer:
     def learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
             self._forget()
-        new = sorted((w for w in words if w not in self.known), key=len, reverse=True)
+        new = [w for w in words if w not in self.known]
         base = len(self.known)
         while len(self.values) < base + len(new):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            parts, owner = _parts(some)
-            lattice, lengths = self.pieces.lattice(parts)
-            alpha = forward(lattice, lengths, self.p)
-            logs = np.log(alpha[lengths, np.arange(len(parts))])
-            np.add.at(self.values, base + a + owner, logs)
+        for places, lattice in self.pieces.batches(new):
+            self.values[base + np.array(places)] = lattice.totals(self.logs)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and score of each text: the softmax of log-likelihoods, scaled down for texts over SCORE_WORDS words."""
+        """Language and posterior probability of each text."""
         words: list[str] = []
         ends = []
         for t in texts:
             words += words_of(t)
             ends.append(len(words))
-        self.learn(set(words))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.langs:
+            self.learn(set(words))
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) if self.langs else np.zeros(0, np.int64)
         out: list[tuple[str, float]] = []
         start = 0
         for end in ends:
             if end == start or not self.langs:
                 out.append((UNKNOWN, 0.0))
             else:
-                n = end - start
-                total = self.values[index[start:end]].sum(axis=0) * (min(n, SCORE_WORDS) / n)
+                total = self.values[index[start:end]].sum(axis=0)
                 e = np.exp(total - total.max())
                 best = int(np.argmax(e))
                 out.append((self.langs[best], float(e[best] / e.sum())))
             start = end
+        if any(len(w) > SHORT for w in self.known):
+            self._forget()
         return out
 
 
+def smoothed(uses: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """languages x pieces: probabilities from expected uses."""
+    shared = (uses.sum(axis=0) + start) / (uses.sum() + 1.0)
+    p = (uses + SHARED * shared) / (uses.sum(axis=1, keepdims=True) + SHARED)
+    return (1 - EVEN) * p + EVEN / len(start)
+
+
 def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from a bounded sample of the labelled rows given."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null")
     sample, sizes = bounded_sample(rows, "lang", most)
     langs = sorted(sizes)
     pieces = pieces_of(vocabulary)
     if not langs:
         return [], np.zeros((0, pieces.size))
+    place = {lang: i for i, lang in enumerate(langs)}
 
-    def run(batches):
-        own = pieces_of(vocabulary)
-        counts = np.zeros((len(langs), own.size))
-        seen: dict[str, Counter] = {lang: Counter() for lang in langs}
-
-        def flush() -> None:
-            words = sorted(set().union(*seen.values()), key=len, reverse=True)
-            weights = np.array([[seen[lang][w] for lang in langs] for w in words], float).reshape(len(words), len(langs))
-            for a in range(0, len(words), 4096):
-                counts[:] += expected_counts(own, words[a : a + 4096], weights[a : a + 4096], own.start)
-            for c in seen.values():
-                c.clear()
+    def count(batches):
+        seen: Counter = Counter()
+
+        def out():
+            if seen:
+                lang, word = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(word, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+                seen.clear()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen[lang].update(words_of(text))
-            if sum(map(len, seen.values())) > 100_000:
-                flush()
-        flush()
-        at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(counts[at], pa.float64())], ["lang", "piece", "uses"])
-
-    parts = map_arrow(sample.select("lang", "text"), run, "lang int, piece int, uses double")
-    found = parts.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).collect()  # at most languages x vocabulary
-    uses = np.zeros((len(langs), pieces.size))
-    for r in found:
-        uses[r["lang"], r["piece"]] = r["uses"]
-    shared = (uses.sum(axis=0) + pieces.start) / (uses.sum() + 1.0)
-    total = uses.sum(axis=1, keepdims=True)
-    return langs, (uses + 5.0 * len(langs) * shared + 0.01 * pieces.start) / (total + 5.0 * len(langs) + 0.01)
+                seen.update(zip(itertools.repeat(place[lang]), words_of(text)))  # noqa: B905
+            if len(seen) > 200_000:
+                yield from out()
+        yield from out()
+
+    counted = map_arrow(sample.select("lang", "text"), count, "lang int, word string, n long").groupBy("word")
+    counted = counted.agg(*(F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs)))).persist(StorageLevel.DISK_ONLY)
+    p = np.tile(pieces.start, (len(langs), 1))
+    before = None
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(np.log(p).T)  # vocabulary x languages numbers
+
+        def expect(batches, shared=shared):
+            own = pieces_of(vocabulary)
+            uses, gain, words = np.zeros((len(langs), own.size)), 0.0, 0.0
+            for b in batches:
+                weights = np.stack([b.column(f"n{i}").to_numpy(zero_copy_only=False) for i in range(len(langs))], 1).astype(float)
+                for places, lattice in own.batches(b.column("word").to_pylist()):
+                    more, likelihood = lattice.uses(shared.value, weights[places], own.size)
+                    uses += more
+                    gain += likelihood
+                words += weights.sum()
+            at = np.nonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array([*at[0], -1, -2], pa.int32()), pa.array([*at[1], 0, 0], pa.int32()), pa.array([*uses[at], gain, words], pa.float64())], ["lang", "piece", "uses"])
+
+        parts = map_arrow(counted, expect, "lang int, piece int, uses double")
+        found = parts.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()  # at most languages x vocabulary
+        of = dict(zip(found["lang"], found["uses"], strict=True))
+        uses = np.zeros((len(langs), pieces.size))
+        real = found[found["lang"] >= 0]
+        uses[real["lang"].to_numpy(), real["piece"].to_numpy()] = real["uses"]
+        p = smoothed(uses, pieces.start)
+        likelihood = of.get(-1, 0.0) / max(1.0, of.get(-2, 0.0))
+        shared.unpersist()
+        if before is not None and likelihood - before < SETTLED:
+            break
+        before = likelihood
+    counted.unpersist()
+    return langs, p
 
 
 def predict(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

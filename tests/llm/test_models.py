@@ -11,39 +11,72 @@ from ripplemark.llm import labelled, langid, quality, queries, toxicity
 from ripplemark.llm.common import documents
 
 
-def test_forward_sums_all_segmentations():
+def brute_segmentations(pieces, symbols):
+    """All lists of pieces that spell the symbols."""
+    number = {n: i for i, n in enumerate(pieces.names)}
+
+    def ways(rest):
+        if not rest:
+            return [[]]
+        return [[number[rest[:k]], *more] for k in range(1, len(rest) + 1) if rest[:k] in number for more in ways(rest[k:])]
+
+    return ways(tuple(symbols))
+
+
+def test_forward_and_uses_equal_all_segmentations():
     pieces = langid.pieces_of(queries.PIECES)
     rng = np.random.default_rng(0)
     p = rng.random((2, pieces.size))
     p /= p.sum(axis=1, keepdims=True)
-    words = ["the", "x", "anthé", "日本x", "internation"]
-    parts = [langid.MARK + w for w in words]
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    lattice, lengths = pieces.lattice([parts[i] for i in order])
-    alpha = langid.forward(lattice, lengths, p)
-
-    def index(piece, first):
-        h = pieces._hash(np.array([[ord(c) for c in piece]], np.uint64))
-        found = int(pieces.find(h)[0])
-        if found < 0 and len(piece) == 1:
-            return pieces.size - langid.OTHER + ord(piece) % langid.OTHER
-        return found
-
-    for row, i in enumerate(order):
-        w = parts[i]
-        want = np.zeros(2)
-        for cuts in itertools.product((0, 1), repeat=len(w) - 1):
-            bounds = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(w)]
-            ids = [index(w[a:b], a == 0) if b - a <= langid.MOST_PIECE else -1 for a, b in zip(bounds, bounds[1:], strict=False)]
-            if min(ids) >= 0:
-                want += np.prod(p[:, ids], axis=1)
-        np.testing.assert_allclose(alpha[lengths[row], row], want, rtol=1e-9)
-
-
-def test_expected_counts_sum_to_segmentation_lengths():
+    words = ["the", "x", "anthé", "日本x", "internation", "ሀሁ"]
+    weights = rng.random((len(words), 2))
+    uses, want_uses, seen = np.zeros((2, pieces.size)), np.zeros((2, pieces.size)), set()
+    for places, lattice in pieces.batches(words):
+        got = lattice.totals(np.log(p).T)
+        more, _ = lattice.uses(np.log(p).T, weights[places], pieces.size)
+        uses += more
+        for row, i in enumerate(places):
+            seen.add(i)
+            ways = brute_segmentations(pieces, pieces.symbols(words[i]))
+            chance = np.array([np.prod(p[:, w], axis=1) for w in ways])
+            np.testing.assert_allclose(got[row], np.log(chance.sum(axis=0)), rtol=1e-9)
+            for w, c in zip(ways, chance / chance.sum(axis=0), strict=True):
+                for k in w:
+                    want_uses[:, k] += c * weights[i]
+    assert seen == set(range(len(words)))
+    np.testing.assert_allclose(uses, want_uses, atol=1e-9)
+    assert pieces.longest > 12 and any(len(w) == pieces.longest for w in pieces.names)
+
+
+def test_probabilities_sum_to_one_and_likelihood_grows():
+    pieces = langid.pieces_of(queries.PIECES)
+    words = ["the", "house", "garden", "das", "haus", "garten"]
+    weights = np.array([[3.0, 0]] * 3 + [[0, 2.0]] * 3)
+    p, last = np.tile(pieces.start, (2, 1)), -np.inf
+    for _ in range(6):
+        uses, likelihood = np.zeros((2, pieces.size)), 0.0
+        for places, lattice in pieces.batches(words):
+            more, gain = lattice.uses(np.log(p).T, weights[places], pieces.size)
+            uses, likelihood = uses + more, likelihood + gain
+        assert likelihood > last - 1e-6
+        p, last = langid.smoothed(uses, pieces.start), likelihood
+        np.testing.assert_allclose(p.sum(axis=1), 1)
+
+
+def test_long_words_of_unseen_letters_have_a_score():
     pieces = langid.pieces_of(queries.PIECES)
-    counts = langid.expected_counts(pieces, ["hello", "a"], np.array([[1.0], [2.0]]), pieces.start)
-    assert 3.0 <= counts.sum() <= 12.0 and (counts >= 0).all()
+    p = np.stack([pieces.start, pieces.start[::-1]])
+    scorer = langid.Scorer(pieces, ["a", "b"], p / p.sum(axis=1, keepdims=True))
+    texts = ["ሀ" * 20, "ሀ" * 10_000 + " the house", "the " * 300, "x" * 50_000, "ሀ" * 19 + " " + "the house and garden " * 20, "̈́", "1 2 ."]
+    found = scorer.score(texts)
+    assert [lang for lang, _ in found[-2:]] == ["und", "und"]
+    for lang, score in found[:-2]:
+        assert lang in ("a", "b") and 0.5 <= score <= 1
+    # a long word is one word: its probability is that of its segmentations, not of parts
+    (_, one), *_ = pieces.batches(["understanding"])
+    whole = one.totals(scorer.logs)[0]
+    ways = brute_segmentations(pieces, pieces.symbols("understanding"))
+    np.testing.assert_allclose(whole, np.log(np.array([np.prod(np.exp(scorer.logs[w]), axis=0) for w in ways]).sum(axis=0)), rtol=1e-9)
 
 
 def test_languages(spark, data):
@@ -59,17 +92,18 @@ def test_languages(spark, data):
 
 def test_language_edge_cases(spark):
     rows = [(i, t, g, "s") for i, (t, g) in enumerate([("the house and the dog", "en"), ("das haus und der hund", "de")] * 20)]
-    rows += [(100, None, "en", "s"), (101, "", "en", "s"), (102, "12 .. ²", None, "s"), (None, "the dog", "en", "s"), (103, "the dog " + "q" * 500, None, "s")]
+    rows += [(100, None, "en", "s"), (101, "", "en", "s"), (102, "12 .. ²", None, "s"), (None, "the dog", "en", "s"), (103, "the dog " + "q" * 500, None, "s"), (104, "ሀ" * 10_000, None, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in langid.identify(df, queries.PIECES).collect()}
     assert [got[i]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3 and got[100]["score"] == 0
     assert got[None]["lang_pred"] == "en" and got[103]["lang_pred"] in ("en", "de")
+    assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(df.where("false"), queries.PIECES).count() == 0
     nothing = langid.identify(df.withColumn("lang", df["lang"].substr(1, 0)).where("doc_id = 0"), queries.PIECES).collect()
     assert len(nothing) == 1
     model = langid.fit(df, queries.PIECES)
     kept = langid.keep_known(df, queries.PIECES, model)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(40)) | {None, 103}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(40)) | {None, 103, 104}
 
 
 def toxic_table(spark):
