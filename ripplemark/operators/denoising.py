@@ -41,8 +41,8 @@ def onoff_r2(packed: DataFrame, task: Mapping[int, np.ndarray], nuisance: Mappin
 
         parts = [E.candidate_sums(shared[r], signals[r]) for r in sorted(signals)]
         a, b, c = (sum(p[i] for p in parts) for i in range(3))
-        amplitude, _ = E.pooled_amplitude(a, b)
-        return pd.DataFrame({"feature": features, "r2": 1 - E.ratio(E.prediction_loss(a, b, c, amplitude)[0], sum(p[3] for p in parts))})
+        fit = E.Quadratic.of(a, b, c)
+        return pd.DataFrame({"feature": features, "r2": 1 - E.ratio(fit.loss(fit.best())[0], sum(p[3] for p in parts))})
 
     return B.by_block(packed, run, f"feature {dict(packed.dtypes)['feature']}, r2 double", runs, block)
 
