@@ -19,12 +19,15 @@ CHUNK_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir, or the session's checkpoint folder. Only a local session,
+    whose executors are the driver, gets a folder of its own where neither is set; a cluster without one is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/ripplemark-shared"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -52,7 +55,8 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that a batch of very long texts fits in a worker."""
+    """Keep Arrow batches short, so that a batch of very long texts fits in a worker. The setting is read when a plan runs, so
+    it stays lowered for the session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -5,14 +5,18 @@ each of several orderings, and sorted by their place on a Hilbert curve, with Sp
 compared with the rows in the windows beside its key; the windows' results merge to a first list of
 neighbours, whose last score is a bound that all true neighbours reach.
 
+A window ends where Spark's range of an ordering ends; the other orderings have their borders elsewhere.
+
 The curve's first ordering also cuts the rows to blocks with a centre and a radius. No row of a block can score more
 with a query than |query| * radius + query . centre; blocks that cannot reach the query's bound are skipped, all
 others are compared in full, in blocks of queries. So nothing is missed: recall is 1. How much is skipped depends on
 the data; where vectors spread evenly in all directions (as random ones do) the bounds skip little, and the work
-is that of comparing the stated queries with all rows.
+is that of comparing the stated queries with all rows. The two sides meet in a grid of cells: a block of rows is
+copied to every column of the grid, a block of queries to every row of it, and the grid has the shape that copies least, so
+that for T cells the copies grow as the square root of T.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of a length other than
-the most common one (ties: the greater length). A null id takes no part. Repeated rows are candidates by themselves (a query's own
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths have no inner
+product, so every length is searched by itself. A null id takes no part. Repeated rows are candidates by themselves (a query's own
 row is not); a query id that is repeated gives one list for each row. Ties go to the smaller id. An empty table gives an
 empty result.
 """
@@ -34,6 +38,8 @@ SAMPLE = 8_192
 DIRECTIONS, BITS, ORDERINGS, BESIDE = 6, 8, 4, 256
 #: Rows of a block, and queries of a block.
 BLOCK = 1_024
+#: Pairs of a query and a row that a cell of the grid compares, about, and the least number of cells.
+CELL, CELLS = 1 << 30, 16
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,19 +79,19 @@ class Curves:
         d = min(DIRECTIONS, sample.shape[1])
         _, _, axes = np.linalg.svd(sample - self.centre, full_matrices=False)
         axes = axes[: max(d, min(len(axes), 4 * d))]
-        self.axes, self.edges = [], []
+        self.axes, self.edges, self.shifts = [], [], []
         for k in range(ORDERINGS):
             turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0] if k else np.eye(len(axes))
             own = (turn @ axes)[:d]
             self.axes.append(own)
             placed = (sample - self.centre) @ own.T
-            shift = rng.random() / (1 << BITS) if k else 0.0  # each curve's grid lies elsewhere
-            cuts = np.clip(np.arange(1, 1 << BITS) / (1 << BITS) + shift, 0, 1)
-            self.edges.append(np.quantile(placed, cuts, axis=0))
+            half = 1 << (BITS - 1)  # a grid of half the curve's width, shifted within it
+            self.shifts.append(rng.integers(0, half, d) if k else np.zeros(d, np.int64))
+            self.edges.append(np.quantile(placed, np.arange(1, half) / half, axis=0))
 
     def keys(self, rows: np.ndarray, k: int) -> np.ndarray:
         placed = (rows - self.centre) @ self.axes[k].T
-        cells = np.stack([np.searchsorted(self.edges[k][:, i], placed[:, i], side="right") for i in range(placed.shape[1])], axis=1)
+        cells = np.stack([np.searchsorted(self.edges[k][:, i], placed[:, i], side="right") + self.shifts[k][i] for i in range(placed.shape[1])], axis=1)
         return hilbert(cells, BITS)
 
 
@@ -107,27 +113,34 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _valid(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.where(F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"))
-    sizes = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
-    if sizes is None:
-        return rows, 0
-    return rows.where(F.size("v") == sizes["s"]), sizes["s"]
+    return rows.where(F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"))
 
 
 def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of every row whose id is divisible by ``every``."""
     spark = df.sparkSession
     ship(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows, size = _valid(df, id_col, vector_col)
-    if not size:
-        return spark.createDataFrame([], schema)
+    rows = _valid(df, id_col, vector_col)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size, n in sorted(tuple(r) for r in rows.groupBy(F.size("v").alias("s")).count().collect()):
+        out = out.unionByName(_search(rows.where(F.size("v") == size), size, n, k, every))
+    return out
+
+
+def grid(n: int, asked: int) -> tuple[int, int]:
+    """Rows and columns of the grid in which n rows, cut over its rows, meet the queries, cut over its columns."""
+    cells = max(CELLS, -(-n * asked // CELL))
+    down = min(max(1, -(-n // BLOCK)), max(1, round((cells * n / max(1, asked)) ** 0.5)))
+    return down, max(1, min(-(-asked // BLOCK), -(-cells // down)))
+
+
+def _search(rows: DataFrame, size: int, n: int, k: int, every: int) -> DataFrame:
+    spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n = rows.count()
     take = min(1_000_000, 1_000_000 * SAMPLE // n + 1)
     sample = np.array([r["v"] for r in rows.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < take).limit(4 * SAMPLE).collect()] or [r["v"] for r in rows.limit(SAMPLE).collect()])
     curves = spark.sparkContext.broadcast(Curves(sample))
@@ -139,6 +152,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*b.columns, *keys], [*b.schema.names, *(f"key{i}" for i in range(ORDERINGS))])
 
     placed = scratch.save(map_arrow(rows, place, "vec_id long, v array<double>, row long, " + ", ".join(f"key{i} long" for i in range(ORDERINGS))), "placed")
+    scratch.drop("rows")
     parts = max(1, -(-n // (16 * BLOCK)))
 
     seeds = None
@@ -153,21 +167,28 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     ordered = placed.select("vec_id", "v", "row", F.col("key0").alias("key")).repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
     blocks = map_arrow(ordered, _blocks, "vec_ids binary, rows binary, m binary, centre binary, radius double, block long")
-    blocks = scratch.save(blocks.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(1 << 30))), "blocks")
-    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", "row", F.col("key0").alias("key")).join(bounds, "row", "left")
-    asked = asked.select("vec_id", "v", "row", "key", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    q_parts = max(1, -(-n // (every * 4 * BLOCK)))
-    asked = asked.repartitionByRange(q_parts, "key", "row").sortWithinPartitions("key", "row")
-    questions = scratch.save(map_arrow(asked, _questions, "q_ids binary, q_rows binary, q binary, bounds binary"), "questions")
-    # the stated queries, in blocks, with all rows, in blocks: every slot of row blocks gets the blocks of queries
-    slots = int(min(512, max(8, -(-n // (4 * BLOCK)))))
-    left = blocks.withColumn("slot", F.pmod("block", F.lit(slots)).cast("int"))
-    right = questions.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = left.join(right, "slot").drop("slot", "block")
-    found = map_arrow(pairs, lambda it: _compare(it, size, k), "query long, query_id long, vec_id long, other long, score double")
-    place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "other")
-    ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = placed.where(F.col("vec_id") % every == 0)
+    wanted = asked.count()
+    asked = asked.select("vec_id", "v", "row", F.col("key0").alias("key")).join(bounds, "row", "left").select("vec_id", "v", "row", "key", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    asked = asked.repartitionByRange(max(1, -(-wanted // (4 * BLOCK))), "key", "row").sortWithinPartitions("key", "row")
+    questions = map_arrow(asked, _questions, "q_ids binary, q_rows binary, q binary, bounds binary, question long")
+    # the stated queries, in blocks, with all rows, in blocks
+    down, across = grid(n, wanted)
+
+    def cell(own: str, cells: int, name: str):
+        return F.pmod(F.xxhash64(own), F.lit(cells)).cast("int").alias(name)
+
+    def every_one(cells: int, name: str):
+        return F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias(name)
+
+    left = blocks.select("*", cell("block", down, "y")).select("*", every_one(across, "x")).drop("block")
+    right = questions.select("*", cell("question", across, "x")).select("*", every_one(down, "y")).drop("question")
+    found = map_arrow(left.join(right, ["x", "y"]).drop("x", "y"), lambda it: _compare(it, size, k), "query long, query_id long, vec_id long, other long, score double")
+    last = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "other")
+    ranked = found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    result = scratch.save(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "result")
+    scratch.drop("placed", "seeds")
+    return result
 
 
 _FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
@@ -228,7 +249,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _cut(batches):
         v = _vectors(t.column("v").chunk(0))
-        yield pa.RecordBatch.from_pylist([{"q_ids": t.column("vec_id").to_numpy().tobytes(), "q_rows": t.column("row").to_numpy().tobytes(), "q": v.tobytes(), "bounds": t.column("bound").to_numpy().tobytes()}])
+        yield pa.RecordBatch.from_pylist([{"q_ids": t.column("vec_id").to_numpy().tobytes(), "q_rows": t.column("row").to_numpy().tobytes(), "q": v.tobytes(), "bounds": t.column("bound").to_numpy().tobytes(), "question": int(t.column("row")[0].as_py())}])
 
 
 class _Lists:
@@ -305,5 +326,5 @@ def oracle_sql(k: int = 20, every: int = 20) -> str:
                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score,
                       row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
-               FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % {every} = 0)
+               FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % {every} = 0)
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM scored WHERE rank <= {k}"""

@@ -211,3 +211,28 @@ def test_hilbert_steps_are_neighbours():
         assert sorted(keys.tolist()) == list(range(side**d))
         path = cells[np.argsort(keys)]
         assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(5)
+    short, long = ([(i, rng.normal(size=d).tolist()) for i in range(a, b)] for d, a, b in ((3, 0, 60), (5, 60, 150)))
+    want = brute_neighbours(short) | brute_neighbours(long)
+    assert search(spark, [(*r, 1) for r in short + long]) == want
+
+
+def test_grid_copies_least():
+    assert neighbours.grid(100, 5) == (1, 1)
+    down, across = neighbours.grid(10**9, 5 * 10**7)
+    cells = 10**9 * 5 * 10**7 // neighbours.CELL
+    assert 0.9 < down * across / cells < 1.2
+    copies = 10**9 * across + 5 * 10**7 * down
+    assert copies <= 1.01 * min(10**9 * -(-cells // d) + 5 * 10**7 * d for d in range(1_000, 200_000, 500))
+
+
+def test_cells_of_a_grid_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "CELLS", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(700)]
+    assert neighbours.grid(700, 35)[0] > 4
+    assert search(spark, [(*r, 1) for r in rows]) == brute_neighbours(rows)
