@@ -6,10 +6,12 @@ sequences by themselves. The others are packed on islands:
 
 * pieces go to islands by a hash of their row number, so islands are of even size whatever source or
   group of copies a piece is from;
-* an island starts from best-fit decreasing and a few perturbed packings. A child takes a run of
+* an island starts from best-fit decreasing and from packings that fill one sequence after the other as full as a short
+  search can. A child takes a run of
   well-filled sequences whole from one parent, then the sequences of the other parent that are still
   possible (those that would repeat a piece are taken apart), and best-fits the displaced pieces.
-  An island stops as soon as it reaches the lower bound ceil(sum / size);
+  A mutation takes the worst-filled sequences of a child and a few others apart and fills them anew, the fullest first; a child that
+  is no better stays out. An island stops as soon as it reaches the lower bound ceil(sum / size);
 * after each epoch the worst-filled sequences of each island's best packing migrate whole, together
   with their elite order, to one of fewer islands, which evolve them further. A migrant quota keeps
   every island within its size, so no task grows with the input, and the last epoch has one island.
@@ -38,7 +40,7 @@ from ripplemark.llm.common import Scratch, chunks, id_text, map_arrow
 ISLAND = 65_536
 #: Islands whose migrants meet on one island of the next epoch.
 MERGED = 64
-POPULATION, GENERATIONS = 4, 8
+POPULATION, GENERATIONS = 5, 8
 
 Bins = list[tuple[int, ...]]
 
@@ -97,15 +99,51 @@ def crossover(one: Bins, two: Bins, size: int, rng: random.Random) -> Bins:
     return best_fit(sorted(displaced, reverse=True), child, size)
 
 
-def perturbed(bins: Bins, size: int, rng: random.Random) -> Bins:
-    """Take apart the worst-filled sequences and a few others."""
+def fullest(items: Iterable[int], size: int, rng: random.Random | None = None) -> Bins:
+    """Fill one sequence after the other: the longest item left, then what fills it exactly alone or as a pair, else the longest
+    that fits and so on. rng varies which pair it is."""
+    left = Counter(items)
+    there = back = 0  # bit n: an item of n tokens is left; the same mirrored, bit size - n
+    for n in left:
+        there |= 1 << n
+        back |= 1 << (size - n)
+    out: Bins = []
+    while there:
+        made, room = [], size
+        found = [there.bit_length() - 1]
+        while found:
+            for n in found:
+                made.append(n)
+                room -= n
+                left[n] -= 1
+                if not left[n]:
+                    there ^= 1 << n
+                    back ^= 1 << (size - n)
+            fits = there & ((2 << room) - 1)
+            if not fits:
+                break
+            longest = fits.bit_length() - 1
+            pairs = fits & (back >> (size - room))
+            if room % 2 == 0 and left[room // 2] < 2:
+                pairs &= ~(1 << (room // 2))
+            if longest == room or not pairs:
+                found = [longest]
+            else:
+                some = (pairs & rng.getrandbits(room + 1) if rng else 0) or pairs
+                one = some.bit_length() - 1
+                found = [one, room - one]
+        out.append(tuple(made))
+    return out
+
+
+def mutated(bins: Bins, size: int, rng: random.Random) -> Bins:
+    """The worst-filled sequences and a few others, filled anew."""
     worst_first = sorted(bins, key=sum)
-    k = max(1, len(bins) // 10)
+    k = max(2, len(bins) // 20)
     others = worst_first[k:]
     rng.shuffle(others)
     loose = [n for b in worst_first[:k] + others[:k] for n in b]
-    rng.shuffle(loose)
-    return best_fit(loose, others[k:], size)
+    return others[k:] + min((fullest(loose, size, rng), best_fit(sorted(loose, reverse=True), [], size)), key=len)
 
 
 def evolve(lengths: Sequence[int], size: int, seed: int, elite: Bins | None = None) -> Bins:
@@ -114,22 +152,26 @@ def evolve(lengths: Sequence[int], size: int, seed: int, elite: Bins | None = No
         return []
     rng = random.Random(seed)
     bound = -(-sum(lengths) // size)
+
+    def rank(bins: Bins) -> tuple[int, float]:
+        return fitness(bins, size)
+
     people = [best_fit(sorted(lengths, reverse=True), [], size)]
     if elite:
         people.append(elite)
-    best = max(people, key=lambda b: fitness(b, size))
-    if len(best) == bound:
-        return best
-    while len(people) < POPULATION:
-        people.append(perturbed(best, size, rng))
+    while len(people) < POPULATION and min(map(len, people)) > bound:
+        people.append(fullest(lengths, size, rng if len(people) > 1 else None))
     for _ in range(GENERATIONS):
-        people.sort(key=lambda b: fitness(b, size), reverse=True)
+        people.sort(key=rank, reverse=True)
         if len(people[0]) == bound:
             break
-        parents = people[: max(2, POPULATION // 2)]
-        children = [crossover(*rng.sample(parents, 2), size, rng) for _ in range(POPULATION - 1)]
-        people = [people[0], *children]
-    return max(people, key=lambda b: fitness(b, size))
+        for _ in range(POPULATION - 1):
+            one, two = rng.sample(people[: max(2, POPULATION // 2)], 2)
+            child = mutated(crossover(one, two, size, rng), size, rng)
+            worst = min(range(len(people)), key=lambda i: rank(people[i]))
+            if rank(child) > rank(people[worst]):
+                people[worst] = child
+    return max(people, key=rank)
 
 
 # -- tokens --

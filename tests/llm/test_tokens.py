@@ -173,13 +173,30 @@ def test_islands_and_migration(spark, monkeypatch):
     rows = packing.pack(df).collect()
     assert sorted(r["length"] for r in rows) == sorted(lengths) and len({r["doc_id"] for r in rows}) == 3000
     assert check_packing(rows) <= 1.02 * len(packing.best_fit(sorted(lengths, reverse=True), [], 1024))
+    # where best fit leaves room, packings of many islands have fewer sequences than one best-fit packing of everything
+    lengths = [rng.randrange(200, 420) for _ in range(3000)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")).collect()
+    assert check_packing(rows) < 0.99 * len(packing.best_fit(sorted(lengths, reverse=True), [], 1024))
+
+
+@pytest.mark.parametrize("low, high, count", [(250, 500, 4000), (200, 420, 2000), (300, 700, 4000), (20, 340, 2000)])
+def test_evolution_beats_its_starts(low, high, count):
+    rng = random.Random(low)
+    lengths = [rng.randrange(low, high) for _ in range(count)]
+    bound = -(-sum(lengths) // 1024)
+    fit, full = packing.best_fit(sorted(lengths, reverse=True), [], 1024), packing.fullest(lengths, 1024)
+    assert sorted(n for b in full for n in b) == sorted(lengths) and max(map(sum, full)) <= 1024
+    got = len(packing.evolve(lengths, 1024, 3))
+    assert got < len(fit) or got == bound
+    if low == 250:  # neither start is near the bound
+        assert got < 0.98 * min(len(fit), len(full))
 
 
 def test_genetic_steps_keep_all_pieces():
     rng = random.Random(2)
     lengths = [rng.choice([340, 341, 342, 500, 510, 520, 600]) for _ in range(300)]
     one = packing.best_fit(sorted(lengths, reverse=True), [], 1024)
-    two = packing.perturbed(one, 1024, rng)
+    two = packing.mutated(packing.fullest(lengths, 1024, rng), 1024, rng)
     child = packing.crossover(one, two, 1024, rng)
     for b in (one, two, child, packing.evolve(lengths, 1024, 3)):
         assert sorted(n for x in b for n in x) == sorted(lengths) and max(map(sum, b)) <= 1024
