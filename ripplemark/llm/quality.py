@@ -4,10 +4,10 @@ Labellers vote good, bad or nothing on a document from simple measures of its te
 maximisation over the votes estimates how often each labeller is right on good and on bad documents,
 and how common those are; all documents' votes count, summed to one row for each pattern of votes
 (at most 3 to the number of labellers). The posteriors of the patterns then label a bounded sample of
-documents, on which a linear scorer over hashed words, word shapes and measures is trained. The scorer
-scores every whole text.
+documents, on which a linear scorer over hashed words, pairs of neighbouring words and measures is trained. The scorer
+scores every whole text, every word whole.
 
-Null texts are empty; an empty text is bad by its length. Null and repeated ids are kept as they come, one
+Null texts are empty; a text without a word scores 0. Null and repeated ids are kept as they come, one
 output row for each input row; rows with a null id are not trained on. An empty table gives an empty result.
 """
 
@@ -29,15 +29,17 @@ from ripplemark.llm.common import chunks, id_text, map_arrow, ship
 from ripplemark.llm.labelled import STEPS
 
 #: Documents that the scorer is trained on, at most.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 6_000
 #: Buckets for hashed features.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
+#: Words whose buckets a worker remembers, of at most so many letters.
+CACHE, SHORT = 100_000, 40
 GOOD, BAD, NONE = 1, 0, -1
 LETTERS = regex.compile(r"\p{L}+")
 
 
-def measures(text: str) -> tuple[dict[str, float], str]:
-    """Simple measures of a text that the labellers vote on, and the text with each run of letters as one letter."""
+def measures(text: str) -> tuple[dict[str, float], list[str]]:
+    """Simple measures of a text that the labellers vote on, and its tokens."""
     tokens = text.split()
     shaped = LETTERS.sub("a", text)
     n = max(1, len(tokens))
@@ -52,7 +54,7 @@ def measures(text: str) -> tuple[dict[str, float], str]:
         "top": top / n if n >= 10 else 0.0,
         "runs": sum(map(eq, tokens, tokens[1:])) / n,
         "stops": (shaped.count(". ") + shaped.count(".\n") + shaped.endswith(".")) / n,
-    }, shaped
+    }, tokens
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -104,19 +106,34 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[
     return dict(zip(names, post.tolist(), strict=True)), chance
 
 
-def features(m: dict[str, float], shaped: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text: shapes of its tokens by their share, and its measures in steps."""
-    shapes = Counter(shaped.split())
-    total = max(1, shapes.total())
-    raw: Counter = Counter()
-    for shape, c in shapes.items():
-        raw["s" + shape[:12]] += c / total
-    raw = Counter({k: math.sqrt(x) for k, x in raw.items()})
-    for name, x in m.items():
-        raw[f"{name}:{int(10 * math.sqrt(min(1.0, x))) if name != 'tokens' else int(math.log2(1 + x))}"] = 1.0
-    raw["bias"] = 1.0
-    at = np.array([zlib.crc32(k.encode()) % BUCKETS for k in raw], np.int64)
-    return at, np.array(list(raw.values()))
+class _Buckets(dict):
+    """Hashes of words; short ones are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_HASH = _Buckets()
+
+
+def features(m: dict[str, float], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a text: its words and pairs of words by the root of their share, and its measures in steps."""
+    words = np.fromiter(map(_HASH.__getitem__, tokens), np.uint64, len(tokens))
+    pairs = (words[:-1] * np.uint64(0x9E3779B1) + words[1:]) >> np.uint64(7)
+    parts = []
+    for some in (words, pairs):
+        if len(some):
+            at, n = np.unique((some % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+            parts.append((at, np.sqrt(n / len(some))))
+    steps = [f"{name}:{int(10 * math.sqrt(min(1.0, x))) if name != 'tokens' else int(math.log2(1 + x))}" for name, x in m.items()]
+    parts.append((np.array([zlib.crc32(k.encode()) % BUCKETS for k in [*steps, "bias"]], np.int64), np.ones(len(m) + 1)))
+    at, place = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+    return at, np.bincount(place, np.concatenate([x for _, x in parts]))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 12, rate: float = 0.5) -> np.ndarray:
@@ -132,7 +149,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 12, ra
 
 
 def score_text(text: str, w: np.ndarray) -> float:
-    at, x = features(*measures(text))
+    m, tokens = measures(text)
+    if not tokens:
+        return 0.0
+    at, x = features(m, tokens)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[at] @ x)))))
 
 
@@ -161,13 +181,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int
             ms = [measures(t) for t in texts]
             made = [features(*m) for m in ms]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([a.tolist() for a, _ in made], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in made], pa.list_(pa.float32())), pa.array([post.get(votes(m), 0.5) for m, _ in ms], pa.float64())],
+                [part.column("doc_id"), pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary()), pa.array([post.get(votes(m), 0.5) for m, _ in ms], pa.float64())],
                 ["doc_id", "at", "x", "y"],
             )
 
-    kept = map_arrow(sample, prepare, "doc_id long, at array<int>, x array<float>, y double").collect()  # the bounded sample
+    kept = map_arrow(sample, prepare, "doc_id long, at binary, x binary, y double").collect()  # the bounded sample
     kept.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return train([(np.array(r["at"]), np.array(r["x"]), r["y"]) for r in kept]), post
+    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), r["y"]) for r in kept]), post
 
 
 def predict(df: DataFrame, w: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -237,6 +237,33 @@ def test_quality_em_and_scorer(spark, data):
     assert quality.classify(edge.where("false")).count() == 0
 
 
+def test_quality_features_are_whole_words_and_pairs():
+    def of(text):
+        return quality.features(*quality.measures(text))
+
+    import codecs
+
+    one, other = of("some ordinary words stand here"), of(codecs.encode("some ordinary words stand here", "rot13"))
+    assert set(one[0].tolist()) != set(other[0].tolist())
+    long = "x" * 500
+    assert set(of(long + "a")[0].tolist()) != set(of(long + "b")[0].tolist())
+    assert set(of("a b c")[0].tolist()) != set(of("c b a")[0].tolist())
+    at, x = of("red red blue")
+    assert len(set(at.tolist())) == len(at) == len(x)
+    assert x[at == zlib.crc32(b"red") % quality.BUCKETS][0] == pytest.approx((2 / 3) ** 0.5)
+
+
+def test_quality_edge_cases(spark):
+    good = "This is a sentence of words that any one may read. It has more than one part, and ends well."
+    rows = [(i, f"{good} Number {i}.", "x", 1) for i in range(60)] + [(i, "$$ ## | | !! !! BUY NOW BUY NOW", "x", 1) for i in range(60, 90)]
+    rows += [(1, None, None, None), (1, good, None, 2), (None, good, None, 3), (95, "", "y", 4), (96, "w " * 100_000, "y", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    got = quality.classify(df)
+    assert got.columns == ["doc_id", "score", "predicted"] and got.count() == len(rows)
+    by = {r["doc_id"]: r["predicted"] for r in got.collect() if r["doc_id"] != 1}
+    assert all(by[i] == 1 for i in range(2, 60)) and not any(by[i] for i in range(60, 90)) and by[None] == 1 and by[95] == 0
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.7
