@@ -121,6 +121,32 @@ def test_added_spans_and_redaction(spark):
     assert personal.personal_digests(df.where("false")).count() == 0
 
 
+def test_hidden_spans_are_added_and_judged_by_their_kind(spark):
+    rng = random.Random(9)
+
+    def card(valid=True):
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c) == valid)
+
+    def split(d, mark):
+        return mark.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    texts = [f"mail ann{i}@x{i}.example.com from 10.1.{i % 250}.7, pay {split(card(), ' ')} or not {split(card(False), ' ')}." for i in range(400)]
+    hidden = [f"mail bob{i + 100} (at) y{i + 100}.example.com from 10.2.3[.]{i}, pay {split(card(), '.')} or not {split(card(False), '.')}." for i in range(20)]
+    clean = [f"the item {rng.randint(1, 9)}{rng.randint(100, 999)} was on page {i} at (at) noon" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts + hidden + clean)), "doc_id long, text string")
+    trees, least = personal.fit(df)
+    assert len(least) == 4 and all(x < float("inf") for x in least[:3]) and least[3] == float("inf")
+    rows = {r["doc_id"]: r["spans"] for r in personal.personal_spans(df).collect()}
+    added = {d: {s["kind"] for s in spans if not s["base"]} for d, spans in rows.items()}
+    assert all({"email", "card"} <= added[d] for d in range(400, 420)) and not any(added[d] for d in range(420, 620))
+    for d in range(400, 420):  # the card that fails its test stays
+        assert sum(s["kind"] == "card" for s in rows[d]) == 1
+    for spans in rows.values():  # added spans overlap nothing
+        for s in spans:
+            assert s["base"] or not any(o is not s and o["start"] < s["end"] and s["start"] < o["end"] for o in spans)
+
+
 def test_boosting_learns_and_writes_sql(spark):
     rows = [((a, b), int(a > 2 and b <= 1), 10) for a in range(6) for b in range(4)]
     model = boosting.boost(rows)
