@@ -15,12 +15,14 @@ each word has exactly one accepted path, which is its encoding.
 
 To encode, a second table (goto transitions over the token spellings, with suffix links) gives the
 tokens ending at each byte, and the one with an arc from the state reached before it is the only
-one on the path. All words of a batch move one byte at a time together in numpy.
+one on the path. All words of a batch move one byte at a time together in numpy; words of more than ``LONG`` bytes go by themselves,
+with a table of the arcs that were looked up, so that a byte of them costs a few lookups.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
@@ -31,6 +33,8 @@ import regex
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers; the memory is emptied beyond it.
 CACHE_WORDS = 300_000
+#: Bytes of a word from which it is encoded by itself, and arcs that are remembered for such words.
+LONG, CACHE_ARCS = 96, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -103,6 +107,8 @@ class MergeAutomaton:
         self._spelling_table()
         self.flat = np.frombuffer(b"".join(spelled), np.uint8)
         self.flat_at = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+        self.steps = self.length.tolist(), self.shorter.tolist(), self.longest.tolist(), memoryview(self.goto.reshape(-1))
+        self.arcs: dict[int, bool] = {}
 
     def _spelling_table(self) -> None:
         """goto[node, byte] over all spellings, the longest token ending at a node, and each token's next shorter suffix token."""
@@ -156,8 +162,47 @@ class MergeAutomaton:
             x, y = np.where(later, self.inherits[x], x), np.where(later, y, self.opened_by[y])
         return out
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Tokens of one word."""
+        length, shorter, longest, goto = self.steps
+        arcs, last, node = self.arcs, array("i", [0]) * len(word), 0
+        for j, byte in enumerate(word):
+            node = goto[node << 8 | byte]
+            token = longest[node]
+            while (before := j - length[token]) >= 0:
+                key = last[before] << 32 | token
+                there = arcs.get(key)
+                if there is None:
+                    if len(arcs) >= CACHE_ARCS:
+                        arcs.clear()
+                    there = arcs[key] = bool(self.has_arc(np.array([last[before]], np.int32), np.array([token], np.int32))[0])
+                if there:
+                    break
+                token = shorter[token]
+            last[j] = token
+        out, j = [], len(word) - 1
+        while j >= 0:
+            out.append(last[j])
+            j -= length[last[j]]
+        return np.array(out[::-1], np.int32)
+
     def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after the other, and how many each has. Words are not empty."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._encode_together(words)
+        apart = set(long)
+        rest = [i for i in range(len(words)) if i not in apart]
+        tokens, counts = self._encode_together([words[i] for i in rest])
+        cuts = np.cumsum(counts)
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        for i, end, n in zip(rest, cuts.tolist(), counts.tolist(), strict=True):
+            parts[i] = tokens[end - n : end]
+        for i in long:
+            parts[i] = self.encode_long(words[i])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _encode_together(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-lengths, kind="stable")
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]

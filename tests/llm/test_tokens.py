@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +116,26 @@ def test_long_word(reference):
     assert codec(PATH).encode_batch([text])[0].tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, " " * 300_000, "ab" * 100_000, "é日" * 20_000, "x" + "=" * 50_000 + "y"])
+def test_very_long_words_cost_a_few_lookups_a_byte(reference, text):
+    start = time.process_time()
+    ids = codec(PATH).encode_batch([text])[0]
+    took = time.process_time() - start
+    assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids and codec(PATH).decode(ids) == text
+    assert took < 2 + 40e-6 * len(text.encode())
+
+
+def test_long_and_short_words_agree():
+    rng = random.Random(11)
+    automaton = codec(PATH).automaton
+    words = [bytes(rng.choice(b"abcdefgh ,.=-") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    together, counts = automaton._encode_together(words)
+    np.testing.assert_array_equal(together, np.concatenate([automaton.encode_long(w) for w in words]))
+    mixed, again = automaton.encode_words(words)
+    np.testing.assert_array_equal(mixed, together)
+    np.testing.assert_array_equal(again, counts)
+
+
 def frame(spark):
     rows = [(i, t, "en") for i, t in enumerate(ODD)] + [(None, "no id", "en"), (90, None, "en"), (91, "twice", "en"), (91, "twice", "en")]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
