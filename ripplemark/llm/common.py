@@ -121,10 +121,3 @@ def filter_rows(df: DataFrame, decide: Callable[[], Callable[[list[str]], list[b
 
 #: Ids that are broadcast; beyond it a shuffle joins them.
 BROADCAST_IDS = 500_000
-
-
-def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of df whose id is not among ids (one column of distinct, non-null longs); the ids are broadcast if they are counted to be few."""
-    ids = ids.toDF("__gone")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import BROADCAST_IDS, Scratch, chunks, id_text, map_arrow, ship, without_ids
+from ripplemark.llm.common import BROADCAST_IDS, Scratch, chunks, id_text, map_arrow, ship
 from ripplemark.llm.components import components
 from ripplemark.llm.shingles import mix, shingle_sets
 
@@ -42,6 +42,8 @@ SALTED = 20_000
 BIG = 256
 #: Open pairs for each row from which neighbours in random orders are tried first.
 MANY_OPEN = 32
+#: Frequent buckets that order shingles; the most frequent ones. The others go first, which changes no result.
+BROADCAST_BUCKETS = 1 << 20
 #: Characters whose words are hashed at once: arrays of 8 bytes a character.
 CHUNK = 300_000
 
@@ -129,12 +131,12 @@ def prefix_length(n: int) -> int:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key, sketch of every text; and rows with bucket, count of frequent shingles (others null)."""
+    """doc_id, h (a hash of the text), n, key, sketch of every text; and rows with bucket, count of frequent shingles (others null)."""
 
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.uint16)  # a task's documents; more of them than fit are no rarer
         seen: set[int] = set()
-        names = ["doc_id", "n", "key", "sketch", "bucket", "count"]
+        names = ["doc_id", "h", "n", "key", "sketch", "bucket", "count"]
         for part, texts in chunks(batches, "text", CHUNK):
             sets = shingle_sets(texts)
             keys = [set_key(s) for s in sets]
@@ -145,14 +147,14 @@ def _profile(docs: DataFrame) -> DataFrame:
                     counts[at] += counts[at] < 65_000
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none, none],
+                [part.column("doc_id"), part.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none, none],
                 names,
             )
         often = np.flatnonzero(counts >= REPORTED + 3 * counts.mean()).astype(np.int32)
         n = len(often)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often), pa.array(counts[often].astype(np.int32))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(often), pa.array(counts[often].astype(np.int32))], names)
 
-    return map_arrow(docs, run, "doc_id long, n int, key long, sketch binary, bucket int, count int")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, "doc_id long, h long, n int, key long, sketch binary, bucket int, count int")
 
 
 def _prefixes(docs: DataFrame, frequent) -> DataFrame:
@@ -205,27 +207,27 @@ class JaccardJoin:
         ship(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
         self.docs = id_text(df, id_col, text_col)
-        self.links: list[DataFrame] = []
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+        """doc_id, h, n, first (doc_id and h of the row that stands for its component, null without shingles), component_id (the least doc_id) for every row."""
         scratch = self.scratch
         profile = scratch.save(_profile(self.docs), "profile")
         own = profile.where("bucket is null")
-        found = profile.where("bucket is not null").groupBy("bucket").agg(F.least(F.sum("count"), F.lit(2**31 - 1)).cast("int").alias("count")).toPandas()  # at most 2 ** COUNT_BITS rows of 8 bytes, mostly some thousands
+        found = profile.where("bucket is not null").groupBy("bucket").agg(F.least(F.sum("count"), F.lit(2**31 - 1)).cast("int").alias("count"))
+        found = found.orderBy(F.desc("count"), "bucket").limit(BROADCAST_BUCKETS).toPandas()  # 8 bytes a row
         found = found.sort_values("bucket")
         frequent = self.spark.sparkContext.broadcast((found["bucket"].to_numpy(np.int32), found["count"].to_numpy(np.int32)))
-        classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
         self.classes = scratch.save(classes, "classes")
         self._groups(frequent)
         comp = self._resolve()
         # a component's id is the least doc_id of its classes
-        labelled = self.classes.select("key", "doc").join(comp, F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "key").alias("component"))
-        least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
-        of_class = scratch.save(labelled.join(least, "component").select("key", "component_id"), "result")
+        labelled = self.classes.select("key", "doc", "first").join(comp, F.col("key") == F.col("node"), "left").select("key", "doc", "first", F.coalesce("component", "key").alias("component"))
+        least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"), F.min("first").alias("first"))
+        of_class = scratch.save(labelled.drop("first").join(least, "component").select("key", "first", "component_id"), "result")
         self.scratch.drop("classes", "grouped")
-        joined = own.where("n > 0").select("doc_id", "n", "key").join(of_class, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-        alone = own.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        joined = own.where("n > 0").select("doc_id", "h", "n", "key").join(of_class, "key").select("doc_id", "h", "n", "first", "component_id")
+        alone = own.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast(dict(of_class.dtypes)["first"]).alias("first"), F.col("doc_id").alias("component_id"))
         return joined.unionByName(alone)
 
     def _groups(self, frequent) -> None:
@@ -248,8 +250,8 @@ class JaccardJoin:
         rows = self.grouped
         first = rows.where("key <> hub.key").select("key", "n", "pos", F.col("hub.key").alias("hub_key"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
         first = first.select(F.struct("key", "n", "pos").alias("x"), F.struct(F.col("hub_key").alias("key"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).alias("y"))
-        tried = self._verify(first, "hubs")
-        comp = components(self._all_links(), self.scratch, "comp-hubs")
+        tried, links = self._verify(first, "hubs")
+        comp = components(links, self.scratch, "comp-hubs")
         before = None
         for k in range(1, 8):
             state, open_pairs, n_rows = self._open(comp, k)
@@ -263,15 +265,21 @@ class JaccardJoin:
             for d in (1, 2, 3):
                 some = ahead.where(f"y{d} is not null and y{d}.component <> component").select(F.struct("key", "n", "pos").alias("x"), F.col(f"y{d}").alias("y"))
                 pairs = some if pairs is None else pairs.unionByName(some)
-            tried = tried.unionByName(self._verify(pairs, f"near{k}"))
-            comp = components(self._all_links(), self.scratch, f"comp-near{k}")
+            more, links = self._verify(pairs, f"near{k}", but=tried)
+            tried = tried.unionByName(more)
+            comp = components(self._with(comp, links), self.scratch, f"comp-near{k}")
         # all that is left: a class outside a shingle's largest component, with every class of another component
         few = state.where(F.col("all") <= BIG)
         x, y = few.where("not main").alias("x"), few.alias("y")
         rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.key") < F.col("y.key"))) & _possible("x", "y"))
         rest = rest.select(F.struct("x.key", "x.n", "x.pos").alias("x"), F.struct("y.key", "y.n", "y.pos").alias("y"))
-        self._verify(rest, "rest", but=tried, more=self._block_pairs(state.where(F.col("all") > BIG)))
-        return components(self._all_links(), self.scratch, "comp-rest")
+        _, links = self._verify(rest, "rest", but=tried, more=self._block_pairs(state.where(F.col("all") > BIG)))
+        return components(self._with(comp, links), self.scratch, "comp-rest")
+
+    @staticmethod
+    def _with(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """New links, and one for each class that says which component it is in."""
+        return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
 
     def _block_pairs(self, state: DataFrame) -> DataFrame:
         """a, b: pairs that are left of shingles with many classes, compared block by block, so that no row is made of a pair that its sketches rule out."""
@@ -279,8 +287,12 @@ class JaccardJoin:
         members = members.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("all") / 128)))
         blocks = members.groupBy("gram", "main", "part").agg(F.collect_list(F.struct("key", "n", "pos", "component", "sketch")).alias("m"))  # about 128 by the hash
         blocks = self.scratch.save(blocks, "blocks")
-        x, y = blocks.where("not main").alias("x"), blocks.alias("y")
-        pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(F.col("y.main") | (F.col("x.part") <= F.col("y.part")))
+        # a shingle's blocks meet in as many tasks as the root of their number: one side is dealt out, the other copied
+        number = blocks.groupBy("gram").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("tasks"))
+        blocks = blocks.join(number, "gram")
+        x = blocks.where("not main").withColumn("task", F.pmod(F.xxhash64("part"), F.col("tasks")).cast("int")).alias("x")
+        y = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("y")
+        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.task") == F.col("y.task"))).where(F.col("y.main") | (F.col("x.part") <= F.col("y.part")))
         pairs = pairs.select(F.col("x.m").alias("one"), F.col("y.m").alias("two"), (~F.col("y.main") & (F.col("x.part") == F.col("y.part"))).alias("same"))
 
         def run(batches):
@@ -301,18 +313,12 @@ class JaccardJoin:
         finally:
             spark.conf.set(key, before)
 
-    def _all_links(self) -> DataFrame:
-        out = self.links[0]
-        for more in self.links[1:]:
-            out = out.unionByName(more)
-        return out
-
     def _open(self, comp: DataFrame, k: int) -> tuple[DataFrame, int, int]:
         """Rows of shingles whose classes are in several components, with the component, whether it is the shingle's
         largest (main), and how many groups a salted shingle has; the number of open pairs; and of rows."""
         rows = self.grouped.select("gram", "salt", "key", "n", "pos").join(comp, F.col("key") == F.col("node"), "left")
         rows = rows.select("gram", "salt", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
-        sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"), F.max("salt").alias("s"))
+        sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"), F.max("salt").alias("s"))  # partial sums: a hot shingle is no hot task
         grams = sizes.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"), F.greatest(F.max("s"), F.lit(1)).alias("salts")).where("parts > 1")
         state = rows.join(grams, "gram").select("gram", "key", "n", "pos", "component", (F.col("component") == F.col("top.component")).alias("main"), F.col("all"), "salts")
         state = self.scratch.save(state, f"open{k}")
@@ -320,8 +326,9 @@ class JaccardJoin:
         total = state.agg(F.sum(F.when(F.col("main"), 0).otherwise(F.col("all"))), F.count("*")).first()
         return state, total[0] or 0, total[1]
 
-    def _verify(self, pairs: DataFrame, name: str, but: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-        """Adds the links among candidate pairs (x, y: structs of key, n, pos; more: pairs a, b that passed the bounds); returns the pairs that were tried."""
+    def _verify(self, pairs: DataFrame, name: str, but: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were tried and the links among them, of candidate pairs (x, y: structs of key, n, pos; more: pairs a, b that passed the bounds)
+        but those that were tried before."""
         scratch, spark = self.scratch, self.spark
         pairs = pairs.where(_possible("x", "y")).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         pairs = (pairs if more is None else pairs.unionByName(more)).distinct()
@@ -370,17 +377,31 @@ class JaccardJoin:
         one = held.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
         two = held.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
         links = map_arrow(close.join(one, "a").join(two, "b").select("a", "b", "items_a", "items_b"), verify, "a long, b long")
-        self.links.append(scratch.save(links, f"{name}-links"))
+        links = scratch.save(links, f"{name}-links")
         scratch.drop(f"{name}-sets", f"{name}-close", f"{name}-needed")
-        return tried
+        return tried, links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the least doc_id that its links reach."""
-    return JaccardJoin(df, id_col, text_col).run()
+    return JaccardJoin(df, id_col, text_col).run().select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each group; all columns stay, and so do rows with a null id."""
-    found = near_duplicates(df, id_col, text_col)
-    return without_ids(df, found.where("doc_id <> component_id").select("doc_id").distinct(), id_col)
+    """One row of each group: that with the least id (null ids last), among its texts that with the least hash. Rows without a shingle stay; all columns stay.
+
+    Rows are told apart by id and text, so an id on rows of several groups loses only those that are copies; of rows that agree in both, any one stays.
+    """
+    found = JaccardJoin(df, id_col, text_col).run().where("first is not null")
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))
+    placed = found.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.max(gone).alias("gone"), F.count("*").alias("rows"))
+    here = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__h"))
+
+    def side(rows: DataFrame) -> DataFrame:
+        few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return F.broadcast(rows) if few else rows
+
+    kept = df.join(side(placed.where("gone").select("__id", "__h")), here, "left_anti")
+    repeated = side(placed.where("not gone and rows > 1").select("__id", "__h"))
+    once = kept.join(repeated, here, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, here, "left_anti").unionByName(once)
