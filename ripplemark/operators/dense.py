@@ -387,6 +387,29 @@ def component_scores(packed: DataFrame, runs: Mapping[int, tuple[np.ndarray, np.
     return by_block(packed, run, f"count int, feature {_kind(packed)}, score double", (dict(runs), dict(components)), block)
 
 
+def component_fold_scores(packed: DataFrame, runs: Mapping[int, tuple[np.ndarray, np.ndarray]], components: Mapping[int, np.ndarray], counts: Sequence[int], block: int = BLOCK) -> DataFrame:
+    """fold (the run held out), count, features, score: median over features of that run's R2, for each number of components."""
+
+    def run(features, signals, shared):
+        designs, comps = shared
+        order = sorted(signals)
+        out = []
+        for count in counts:
+            prepared = []
+            for r in order:
+                task, nuisance = designs[r]
+                a, b, c, _ = E.candidate_sums(E.candidate_run(np.column_stack([nuisance, comps[r][:, :count]]), [task]), signals[r])
+                base = E.project_out(signals[r], E.basis(nuisance, normalise=False))
+                prepared.append((a, b, c, (base**2).sum(axis=0)))
+            for i, held in enumerate(order):
+                score = E.held_out_scores(prepared, [j for j in range(len(order)) if j != i], [i])[0]
+                out.append(_long(features, {"score": np.where(np.isfinite(score), score, np.nan)}, fold=held, count=count))
+        return pd.concat(out)[["fold", "count", "feature", "score"]]
+
+    each = by_block(packed, run, f"fold int, count int, feature {_kind(packed)}, score double", (dict(runs), dict(components)), block)
+    return each.groupBy("fold", "count").agg(F.count("score").alias("features"), F.median("score").alias("score"))
+
+
 def component_tests(packed: DataFrame, runs: Mapping[int, tuple[np.ndarray, np.ndarray]], components: Mapping[int, np.ndarray], count: int, noise: str = "ar1", block: int = BLOCK) -> DataFrame:
     """feature, f, p: whether the components explain more than the model without them, pooled over runs; AR(1)-filtered by each feature's run coefficient if asked for."""
 

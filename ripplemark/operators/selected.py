@@ -51,6 +51,32 @@ def selected_trials(packed: DataFrame, picks: DataFrame, kernel_trials: Mapping[
     return _unpack(packed, picks, names, run, f"run int, trial int, feature {dict(packed.dtypes)['feature']}, coef double", shared, block)
 
 
+def selected_delta_r2(packed: DataFrame, kernels: DataFrame, full: Mapping[int, Mapping[int, np.ndarray]], nuisance: Mapping[int, np.ndarray], block: int = B.BLOCK) -> DataFrame:
+    """feature, full_r2, nuisance_r2, delta_r2 with the design of each feature's kernel (kernels: feature, kernel; full: kernel to run to matrix). Undefined without a kernel."""
+
+    def run(features, signals, given):
+        own, (xs, ns) = given
+        out = {c: np.full(len(features), np.nan) for c in ("full_r2", "nuisance_r2", "delta_r2")}
+        for k in np.unique(own["kernel"][np.isfinite(own["kernel"])]):
+            cols = np.flatnonzero(own["kernel"] == k)
+            found = E.nested_gain([signals[r][:, cols] for r in sorted(signals)], [xs[int(k)][r] for r in sorted(signals)], [ns[r] for r in sorted(signals)])
+            for c, v in found.items():
+                out[c][cols] = v
+        return pd.DataFrame({"feature": features, **out})
+
+    schema = f"feature {dict(packed.dtypes)['feature']}, full_r2 double, nuisance_r2 double, delta_r2 double"
+    return _unpack(packed, kernels, ["kernel"], run, schema, ({k: dict(v) for k, v in full.items()}, dict(nuisance)), block)
+
+
+def random_design_diagnostics(packed: DataFrame, fixed: Mapping[int, np.ndarray], designs: Sequence[Mapping[int, np.ndarray]], rho: float = 0.0, reference: int = 0, block: int = B.BLOCK) -> DataFrame:
+    """feature, winner, criterion, reference_criterion, delta_criterion, ratio, reference_ratio, reference_status: what the preferred random design gains over a reference one."""
+    best = B.select_random_design(packed, fixed, designs, rho, block)
+    plain = B.variance_components(packed, fixed, designs[reference], rho, block)
+    plain = plain.select("feature", F.col("criterion").alias("reference_criterion"), F.col("ratio").alias("reference_ratio"), F.col("status").alias("reference_status"))
+    both = best.join(plain, "feature").withColumn("delta_criterion", F.col("reference_criterion") - F.col("criterion"))
+    return both.select("feature", "winner", "criterion", "reference_criterion", "delta_criterion", "ratio", "reference_ratio", "reference_status")
+
+
 def variance_components_by_rho(packed: DataFrame, rhos: DataFrame, fixed: Mapping[int, np.ndarray], random: Mapping[int, np.ndarray], block: int = B.BLOCK) -> DataFrame:
     """feature, ratio, noise_variance, random_variance, criterion, status with each feature's own AR(1) coefficient (rhos: feature, rho)."""
 

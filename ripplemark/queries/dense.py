@@ -241,3 +241,58 @@ def denoise_select(spark, d):
     task = {r: t for r, (t, _) in _task().items()}
     found = select_components(packed_events(spark, d), task, nuisances(), counts=(0, 1, 2, 3), threshold=0.0005)
     return rounded(found.scores.withColumn("chosen", F.col("count") == found.count), 8)
+
+
+def _each_trials() -> dict[int, dict[int, np.ndarray]]:
+    return {k: dict.fromkeys(range(T.RUNS), X.event_responses(hour_events(), HOURS, p)) for k, p in enumerate(library().parameters)}
+
+
+def _problem(kind: str, grid: list[float]):
+    from ripplemark.operators.nested import Problem
+
+    return Problem(_each_trials(), nuisances(), _predictors(), grid, kind, candidate_runs())
+
+
+@query("nested_ridge")
+def nested_ridge(spark, d):
+    from ripplemark.operators.nested import nested_evaluation
+
+    return rounded(nested_evaluation(packed_events(spark, d), _problem("ridge", [0.0, 1.0, 10.0]))[0], 8)
+
+
+@query("nested_fraction")
+def nested_fraction(spark, d):
+    from ripplemark.operators.nested import nested_evaluation
+
+    return rounded(nested_evaluation(packed_events(spark, d), _problem("fraction", [0.3, 0.6, 1.0]))[0], 8)
+
+
+@query("nested_refit")
+def nested_refit(spark, d):
+    from ripplemark.operators.nested import coefficients, tune
+
+    packed, problem = packed_events(spark, d), _problem("fraction", [0.3, 0.6, 1.0])
+    return rounded(coefficients(packed, problem, tune(packed, problem, range(T.RUNS))))
+
+
+@query("selected_delta_r2")
+def selected_delta_r2(spark, d):
+    from ripplemark.operators.selected import selected_delta_r2 as gain
+
+    packed = packed_events(spark, d)
+    kernels = B.select_kernels(packed, candidate_runs()).select("feature", "kernel")
+    each = {k: {r: X.compile_design(hour_events(), HOURS, kernel=p, drift="polynomial", drift_order=2).matrix for r in range(T.RUNS)} for k, p in enumerate(library().parameters)}
+    return rounded(gain(packed, kernels, each, nuisances()), 8)
+
+
+@query("reml_diagnostics")
+def reml_diagnostics(spark, d):
+    from ripplemark.operators.selected import random_design_diagnostics
+
+    return rounded(random_design_diagnostics(packed_events(spark, d), nuisances(), list(_each_trials().values())))
+
+
+@query("component_fold_scores")
+def component_fold_scores(spark, d):
+    packed, comps = _components(spark, d)
+    return rounded(B.component_fold_scores(packed, _task(), comps, [0, 1, 2]), 8)
