@@ -30,6 +30,7 @@ once, by its least text. An empty table gives an empty result; with labels of on
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,8 @@ STEPS = (1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)
 POWERS = (0.25, 0.5, 0.75, 1.0)
 #: Expressions that a task counts before it passes them on.
 HELD = 300_000
+#: Words of the labelled sample that are broadcast; beyond it the words of all documents are shuffled.
+BROADCAST_WORDS = 2_000_000
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -151,7 +154,7 @@ def assemble(words: pd.DataFrame, pairs: pd.DataFrame, heads: pd.DataFrame, tota
 
 
 def _triples(sample: DataFrame) -> DataFrame:
-    """before, first, second, toxic: the word pairs of the sample with the word before them, once for each task."""
+    """before, first, second, toxic: the word pairs of the sample with a hash of the word before them, once for each task."""
 
     def run(batches):
         seen: tuple[set, set] = (set(), set())
@@ -160,7 +163,8 @@ def _triples(sample: DataFrame) -> DataFrame:
             for toxic, held in enumerate(seen):
                 if held:
                     before, first, second = zip(*held, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(first), pa.array(second), pa.array([toxic] * len(held), pa.int32())], ["before", "first", "second", "toxic"])
+                    before = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in before]
+                    yield pa.RecordBatch.from_arrays([pa.array(before, pa.int64()), pa.array(first), pa.array(second), pa.array([toxic] * len(held), pa.int32())], ["before", "first", "second", "toxic"])
                     held.clear()
 
         for b in batches:
@@ -171,24 +175,33 @@ def _triples(sample: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return map_arrow(sample.select("text", "toxic"), run, "before string, first string, second string, toxic int")
+    return map_arrow(sample.select("text", "toxic"), run, "before long, first string, second string, toxic int")
 
 
-def _document_counts(texts: DataFrame) -> DataFrame:
-    """word, n: documents that hold a word, summed in each task before they are shuffled."""
+def _document_counts(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """word, n: how many documents hold each of the words in ``of``, and, for the word null, the sum of that over all words.
+
+    Counts are summed in each task before they are shuffled. The words are broadcast where they are counted to be few enough; else all words are counted.
+    """
+    spark = texts.sparkSession
+    few = of.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    shared = spark.sparkContext.broadcast(frozenset(of.toPandas()["word"]) if few else None)
 
     def run(batches):
-        seen: Counter = Counter()
+        known, seen, total = shared.value, Counter(), 0
 
         def out():
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), total], pa.int64())], ["word", "n"])
             seen.clear()
 
         for _, some in chunks(batches, "text"):
             for text in some:
-                seen.update(set(words_of(text)))
+                words = set(words_of(text))
+                total += len(words)
+                seen.update(words if known is None else known & words)
             if len(seen) > HELD:
                 yield from out()
+                total = 0
         yield from out()
 
     return map_arrow(texts.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -199,10 +212,11 @@ def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
     flags = [F.max(F.when(F.col("toxic") == v, 1).otherwise(0)).alias(c) for c, v in (("t", 1), ("o", 0))]
     pairs = _triples(seen).groupBy("before", "first", "second").agg(*flags).groupBy("first", "second").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).persist()
     counts = pairs.groupBy("second").agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("t", "o"))).withColumnRenamed("second", "word")
-    everywhere = _document_counts(documents)
-    words = everywhere.join(counts, "word", "full").select("word", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "o", "n"))).persist()
+    everywhere = _document_counts(documents, counts.select("word")).persist()
+    words = counts.join(everywhere, "word", "left").select("word", "t", "o", F.coalesce("n", F.lit(0)).alias("n")).persist()
     try:
-        n_t, n_o, n = (int(x or 0) for x in words.agg(F.sum("t"), F.sum("o"), F.sum("n")).first())
+        n_t, n_o = (int(x or 0) for x in words.agg(F.sum("t"), F.sum("o")).first())
+        n = sum(r["n"] for r in everywhere.where("word is null").collect())
         if not n_t or not n_o:
             return []
         sizes = F.lit(float(n_t)), F.lit(float(n_o))
@@ -226,6 +240,7 @@ def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
     finally:
         pairs.unpersist()
         words.unpersist()
+        everywhere.unpersist()
     return [assemble(own, kept, heads.assign(l_t=heads[f"t{i}"] / heads["t"].clip(lower=1), l_o=heads[f"o{i}"] / heads["o"].clip(lower=1)), totals, s) for i, s in enumerate(STEPS)]
 
 
