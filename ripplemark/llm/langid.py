@@ -19,6 +19,7 @@ table gives an empty result; where nothing can be learnt, every text is ``und``.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ SHARED = 20.0
 #: Training ends when the log-likelihood of a word gains less than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-3, 30
 #: Symbols (words x longest word) that are summed at once, and words that a worker remembers, if they have at most so many symbols.
-AT_ONCE, CACHE, SHORT = 60_000, 100_000, 64
+AT_ONCE, CACHE, SHORT = 60_000, 200_000, 64
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,6 +78,14 @@ class Pieces:
         for x in range(256):
             names.setdefault((BYTES + x,), len(names))
         self.names, self.size, self.longest = list(names), len(names), max(map(len, names))
+        self.is_letter = np.zeros(BYTES, bool)
+        self.is_letter[list(self.letters)] = True
+        # no piece goes on from a substring whose place is not marked
+        self.goes_on = np.zeros(1 << 20, bool)
+        for k in range(1, self.longest + 1):
+            starts = np.array(sorted({n[:k] for n in names if len(n) > k}), np.uint64)
+            if len(starts):
+                self.goes_on[self._hash(starts) >> np.uint64(44)] = True
         keys = np.array([self._hash(np.array([n], np.uint64))[0] for n in names], np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], order.astype(np.int32)
@@ -125,40 +134,58 @@ class Pieces:
                 out += [BYTES + x for x in c.encode("utf-8", "surrogatepass")]
         return out
 
-    def batches(self, words: list[str]) -> Iterator[tuple[list[int], "Lattice"]]:
+    def batches(self, words: list[str]) -> Iterator[tuple[np.ndarray, "Lattice"]]:
         """Lattices of words of about the same length, of AT_ONCE symbols or one word, with the places of their words."""
-        spelt = [self.symbols(w) for w in words]
-        order = sorted(range(len(words)), key=lambda i: len(spelt[i]))
-        start = 0
-        for i in range(1, len(order) + 1):
-            if i == len(order) or (i + 1 - start) * len(spelt[order[i]]) > AT_ONCE:
-                yield order[start:i], Lattice(self, [spelt[k] for k in order[start:i]])
-                start = i
+        if not words:
+            return
+        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lengths) - lengths
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(~self.is_letter[codes]), side="right") - 1)
+        if len(odd):  # words with letters that are in no piece
+            spelt = [np.array(self.symbols(words[i]), np.uint64) for i in odd]
+            starts[odd] = len(codes) + np.cumsum([0, *map(len, spelt[:-1])])
+            lengths[odd] = list(map(len, spelt))
+            codes = np.concatenate([codes, *spelt])
+        order = np.argsort(lengths, kind="stable")
+        begin = 0
+        while begin < len(order):
+            end = begin + 1
+            step = 4096
+            while step:  # as many as fit: the length of the last one counts for all
+                more = min(end + step, len(order))
+                if more > end and (more - begin) * int(lengths[order[more - 1]]) <= AT_ONCE:
+                    end = more
+                else:
+                    step //= 2
+            some = order[begin:end]
+            yield some, Lattice(self, codes, starts[some], lengths[some])
+            begin = end
 
 
 class Lattice:
     """All ways to cut words into pieces: an edge for each piece that stands somewhere in a word."""
 
-    def __init__(self, pieces: Pieces, words: list[list[int]]):
-        self.n = len(words)
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        width = self.width = int(self.lengths.max())
-        codes = np.zeros((self.n, width + pieces.longest), np.uint64)
-        codes[:, :width][np.arange(width)[None, :] < self.lengths[:, None]] = np.fromiter(itertools.chain.from_iterable(words), np.uint64)
-        row, begin, end, piece = [], [], [], []
-        at = np.flatnonzero((np.arange(width)[None, :] < self.lengths[:, None]).ravel())
-        r, c = np.divmod(at, width)
+    def __init__(self, pieces: Pieces, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Words are stretches of codes (symbols)."""
+        self.n, self.lengths, self.width = len(lengths), lengths, int(lengths.max())
+        r, c = np.nonzero(np.arange(self.width)[None, :] < lengths[:, None])
+        at = starts[r] + c
+        left = lengths[r] - c  # symbols from here to the end of the word
         h = np.zeros(len(at), np.uint64)
+        row, begin, end, piece = [], [], [], []
         for size in range(1, pieces.longest + 1):
-            inside = c + size <= self.lengths[r]
-            r, c, h = r[inside], c[inside], h[inside]
-            h = pieces._add(h, codes[r, c + size - 1])
+            h = pieces._add(h, codes[at + size - 1])
             found = pieces.find(h)
             hit = found >= 0
             row.append(r[hit])
             begin.append(c[hit])
             end.append(c[hit] + size)
             piece.append(found[hit])
+            on = (left > size) & pieces.goes_on[h >> np.uint64(44)]
+            r, c, at, left, h = r[on], c[on], at[on], left[on], h[on]
+            if not len(r):
+                break
         self.row, self.begin, self.end, self.piece = (np.concatenate(x) for x in (row, begin, end, piece))
 
     def _sweep(self, logs: np.ndarray, by: np.ndarray, other: np.ndarray, first: np.ndarray, positions) -> np.ndarray:
@@ -213,6 +240,22 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+_HELD: dict[tuple, "Scorer"] = {}
+
+
+def scorer_of(vocabulary: str, name: str, model: tuple[list[str], np.ndarray]) -> "Scorer":
+    """The scorer of a model, one for each worker, with the words that it remembers."""
+    key = vocabulary, name
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Scorer(pieces_of(vocabulary), *model)
+    return _HELD[key]
+
+
+def _name(model: tuple[list[str], np.ndarray]) -> str:
+    return hashlib.sha256("\n".join(model[0]).encode() + model[1].tobytes()).hexdigest()
+
+
 class Scorer:
     """Log-likelihoods of words for all languages; short ones are remembered in a worker."""
 
@@ -233,7 +276,7 @@ class Scorer:
         while len(self.values) < base + len(new):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         for places, lattice in self.pieces.batches(new):
-            self.values[base + np.array(places)] = lattice.totals(self.logs)
+            self.values[base + places] = lattice.totals(self.logs)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -309,10 +352,13 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
             uses, gain, words = np.zeros((len(langs), own.size)), 0.0, 0.0
             for b in batches:
                 weights = np.stack([b.column(f"n{i}").to_numpy(zero_copy_only=False) for i in range(len(langs))], 1).astype(float)
-                for places, lattice in own.batches(b.column("word").to_pylist()):
-                    more, likelihood = lattice.uses(shared.value, weights[places], own.size)
-                    uses += more
-                    gain += likelihood
+                spelt = np.array(b.column("word").to_pylist(), object)
+                for lang in range(len(langs)):  # most words are of one language
+                    mine = np.flatnonzero(weights[:, lang])
+                    for places, lattice in own.batches(spelt[mine].tolist()):
+                        more, likelihood = lattice.uses(shared.value[:, [lang]], weights[mine[places]][:, [lang]], own.size)
+                        uses[lang] += more[0]
+                        gain += likelihood
                 words += weights.sum()
             at = np.nonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array([*at[0], -1, -2], pa.int32()), pa.array([*at[1], 0, 0], pa.int32()), pa.array([*uses[at], gain, words], pa.float64())], ["lang", "piece", "uses"])
@@ -336,10 +382,10 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 def predict(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary numbers
+    shared, name = df.sparkSession.sparkContext.broadcast(model), _name(model)  # languages x vocabulary numbers
 
     def run(batches):
-        scorer = Scorer(pieces_of(vocabulary), *shared.value)
+        scorer = scorer_of(vocabulary, name, shared.value)
         for part, texts in chunks(batches, "text"):
             found = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -358,10 +404,10 @@ def identify(df: DataFrame, vocabulary: str) -> DataFrame:
 def keep_known(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows whose text is in a language; all columns stay."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), _name(model)
 
     def decide():
-        scorer = Scorer(pieces_of(vocabulary), *shared.value)
+        scorer = scorer_of(vocabulary, name, shared.value)
         return lambda texts: [lang != UNKNOWN for lang, _ in scorer.score(texts)]
 
     return filter_rows(df, decide, text_col)
