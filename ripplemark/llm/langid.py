@@ -19,7 +19,6 @@ table gives an empty result; where nothing can be learnt, every text is ``und``.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -47,8 +46,8 @@ EVEN = 1e-4
 SHARED = 20.0
 #: Training ends when the log-likelihood of a word gains less than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-3, 30
-#: Symbols (words x longest word) that are summed at once, and words that a worker remembers, if they have at most so many symbols.
-AT_ONCE, CACHE, SHORT = 60_000, 200_000, 64
+#: Symbols (words x longest word) that are summed at once, and words that a task remembers, if they have at most so many symbols.
+AT_ONCE, CACHE, SHORT = 60_000, 300_000, 64
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,24 +239,8 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-_HELD: dict[tuple, "Scorer"] = {}
-
-
-def scorer_of(vocabulary: str, name: str, model: tuple[list[str], np.ndarray]) -> "Scorer":
-    """The scorer of a model, one for each worker, with the words that it remembers."""
-    key = vocabulary, name
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Scorer(pieces_of(vocabulary), *model)
-    return _HELD[key]
-
-
-def _name(model: tuple[list[str], np.ndarray]) -> str:
-    return hashlib.sha256("\n".join(model[0]).encode() + model[1].tobytes()).hexdigest()
-
-
 class Scorer:
-    """Log-likelihoods of words for all languages; short ones are remembered in a worker."""
+    """Log-likelihoods of words for all languages; short ones are remembered in a task."""
 
     def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
         self.pieces, self.langs = pieces, langs
@@ -289,18 +272,17 @@ class Scorer:
         if self.langs:
             self.learn(set(words))
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) if self.langs else np.zeros(0, np.int64)
-        out: list[tuple[str, float]] = []
-        start = 0
-        for end in ends:
-            if end == start or not self.langs:
-                out.append((UNKNOWN, 0.0))
-            else:
-                total = self.values[index[start:end]].sum(axis=0)
-                e = np.exp(total - total.max())
-                best = int(np.argmax(e))
-                out.append((self.langs[best], float(e[best] / e.sum())))
-            start = end
-        if any(len(w) > SHORT for w in self.known):
+        bounds = np.array([0, *ends], np.int64)
+        some = np.flatnonzero(np.diff(bounds)) if self.langs else np.zeros(0, np.int64)
+        out = [(UNKNOWN, 0.0)] * len(ends)
+        if len(some):  # texts with words: their words follow one another
+            total = np.add.reduceat(self.values[index], bounds[:-1][some], axis=0)
+            e = np.exp(total - total.max(axis=1, keepdims=True))
+            best = e.argmax(axis=1)
+            score = e[np.arange(len(some)), best] / e.sum(axis=1)
+            for i, k, x in zip(some.tolist(), best.tolist(), score.tolist(), strict=True):
+                out[i] = self.langs[k], x
+        if words and max(map(len, words)) > SHORT:
             self._forget()
         return out
 
@@ -382,10 +364,10 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 def predict(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
     ship(df.sparkSession)
-    shared, name = df.sparkSession.sparkContext.broadcast(model), _name(model)  # languages x vocabulary numbers
+    shared = df.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary numbers
 
     def run(batches):
-        scorer = scorer_of(vocabulary, name, shared.value)
+        scorer = Scorer(pieces_of(vocabulary), *shared.value)
         for part, texts in chunks(batches, "text"):
             found = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -404,10 +386,10 @@ def identify(df: DataFrame, vocabulary: str) -> DataFrame:
 def keep_known(df: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows whose text is in a language; all columns stay."""
     ship(df.sparkSession)
-    shared, name = df.sparkSession.sparkContext.broadcast(model), _name(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def decide():
-        scorer = scorer_of(vocabulary, name, shared.value)
+        scorer = Scorer(pieces_of(vocabulary), *shared.value)
         return lambda texts: [lang != UNKNOWN for lang, _ in scorer.score(texts)]
 
     return filter_rows(df, decide, text_col)

@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplemark.llm.common import chunks, crc_remainder, filter_rows, id_text, map_arrow, ship
@@ -210,8 +210,11 @@ def _document_counts(texts: DataFrame, of: DataFrame) -> DataFrame:
 def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
     """A model for each of STEPS from the labelled rows seen (text, toxic) and all documents; none if a class has no words."""
     flags = [F.max(F.when(F.col("toxic") == v, 1).otherwise(0)).alias(c) for c, v in (("t", 1), ("o", 0))]
-    pairs = _triples(seen).groupBy("before", "first", "second").agg(*flags).groupBy("first", "second").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).persist()
-    counts = pairs.groupBy("second").agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("t", "o"))).withColumnRenamed("second", "word")
+    # one shuffle by the first word serves all sums over pairs and heads
+    pairs = _triples(seen).repartition("first").groupBy("before", "first", "second").agg(*flags).groupBy("first", "second").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    head = Window.partitionBy("first")  # at most the words of the bounded sample
+    whole = pairs.select("*", F.sum("t").over(head).alias("h_t"), F.sum("o").over(head).alias("h_o")).persist()
+    counts = whole.groupBy("second").agg(*(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("t", "o"))).withColumnRenamed("second", "word")
     everywhere = _document_counts(documents, counts.select("word")).persist()
     words = counts.join(everywhere, "word", "left").select("word", "t", "o", F.coalesce("n", F.lit(0)).alias("n")).persist()
     try:
@@ -223,22 +226,19 @@ def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
         taken = words.agg(*(F.sum(_discount(a, x, b, y, s)).alias(f"{a}{i}") for i, s in enumerate(STEPS) for a, x, b, y in (("t", sizes[0], "o", sizes[1]), ("o", sizes[1], "t", sizes[0])))).first()
         totals = {"n_t": n_t, "n_o": n_o, "corpus": 1.0 if n else 0.0, "masses": {s: (taken[f"t{i}"] / n_t, taken[f"o{i}"] / n_o) for i, s in enumerate(STEPS)}}
 
-        of_heads = pairs.groupBy("first").agg(F.sum("t").alias("h_t"), F.sum("o").alias("h_o"))
-        whole = pairs.join(of_heads, "first").persist()
         left = (F.col("t") > _discount("t", "h_t", "o", "h_o", STEPS[0])) | (F.col("o") > _discount("o", "h_o", "t", "h_t", STEPS[0]))
         # what the least discount leaves: bounded by the words of the bounded sample over (least step) ** 2
         kept = whole.where(left).select("first", "second", "t", "o").toPandas()
-        masses = whole.join(whole.where(left).select("first").distinct(), "first", "left_semi").groupBy("first").agg(
-            F.max("h_t").alias("t"), F.max("h_o").alias("o"),
+        masses = whole.groupBy("first").agg(
+            F.max(left).alias("stands"), F.max("h_t").alias("t"), F.max("h_o").alias("o"),
             *(F.sum(_discount(a, f"h_{a}", b, f"h_{b}", s)).alias(f"{a}{i}") for i, s in enumerate(STEPS) for a, b in (("t", "o"), ("o", "t"))),
         )
-        heads = masses.toPandas()
+        heads = masses.where("stands").drop("stands").toPandas()
         stands = (F.col("t") > _discount("t", sizes[0], "o", sizes[1], STEPS[0])) | (F.col("o") > _discount("o", sizes[1], "t", sizes[0], STEPS[0]))
         wanted = words.where(stands).unionByName(words.join(whole.where(left).select(F.col("second").alias("word")).distinct(), "word", "left_semi")).distinct()
         own = wanted.withColumn("share", F.col("n") / F.lit(float(max(1, n)))).toPandas()
-        whole.unpersist()
     finally:
-        pairs.unpersist()
+        whole.unpersist()
         words.unpersist()
         everywhere.unpersist()
     return [assemble(own, kept, heads.assign(l_t=heads[f"t{i}"] / heads["t"].clip(lower=1), l_o=heads[f"o{i}"] / heads["o"].clip(lower=1)), totals, s) for i, s in enumerate(STEPS)]
