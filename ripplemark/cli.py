@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--modulator", action="append")
     p.add_argument("--skip", action="append", choices=STAGES)
     p.add_argument("--overwrite", action="store_true", default=None)
+    p.add_argument("--denoise", action="store_true", default=None)
     for name, kind in (("output-dir", str), ("kernel-method", str), ("kernel-samples", int), ("kernel-seed", int), ("penalty", str), ("percentile", float), ("encoding", str), ("noise", str), ("block-size", int), ("max-features", int)):
         p.add_argument(f"--{name}", type=kind)
     return p
@@ -48,8 +49,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         if any(p.problems for p in plans):
             return 1
         if args.action == "run":
-            for s in wanted:
-                workflow.run(spark, s)
+            workflow.run_sessions(spark, wanted)
         return 0
     except (ValueError, OSError) as error:
         print(error, file=sys.stderr)

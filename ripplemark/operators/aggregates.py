@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,17 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def co_moment(p: str, q: str) -> Column:
+    """Sum of products about the means, as an aggregate: summed in part on the map side, merged without cancellation, exactly 0 for a constant."""
+    both = F.col(p).isNotNull() & F.col(q).isNotNull()
+    return (F.var_pop(p) if p == q else F.covar_pop(p, q)) * F.count(F.when(both, 1))
+
+
 def sums_of_squares(df: DataFrame, keys: Sequence[str], observed: str = "y", predicted: str = "fitted") -> DataFrame:
     """keys, sse, sst, n: sst about the mean of the keys' rows, exactly 0 where the observed values are constant."""
-    w = Window.partitionBy(*keys)
-    centred = df.select(*keys, (F.col(observed) - F.avg(observed).over(w)).alias("c"), (F.col(observed) - F.col(predicted)).alias("e"), F.col(observed).alias("o"))
-    sst = F.when(F.max("o") == F.min("o"), 0.0).otherwise(F.sum(F.col("c") * F.col("c")))
-    return centred.groupBy(*keys).agg(F.sum(F.col("e") * F.col("e")).alias("sse"), sst.alias("sst"), F.count("*").alias("n"))
+    rows = df.select(*keys, (F.col(observed) - F.col(predicted)).alias("e"), F.col(observed).alias("o"))
+    sst = F.when(F.max("o") == F.min("o"), 0.0).otherwise(co_moment("o", "o"))
+    return rows.groupBy(*keys).agg(F.sum(F.col("e") * F.col("e")).alias("sse"), sst.alias("sst"), F.count("*").alias("n"))
 
 
 def r_squared(sse: Column, sst: Column) -> Column:
@@ -35,14 +40,14 @@ def pooled_r2(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def centred(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Columns less their mean within the keys. A first value is subtracted first, so constants become exactly 0."""
-    w = Window.partitionBy(*keys)
-    out = df
-    for c in columns:
-        out = out.withColumn(c, F.col(c) - F.min(c).over(w))
-    for c in columns:
-        out = out.withColumn(c, F.col(c) - F.avg(c).over(w))
-    return out
+    """Columns less their mean within the keys; constants become exactly 0. Rows whose keys are null are left out.
+
+    The means are a row for each key, joined back: what is shuffled for them is that row, and the rows themselves only where
+    the means are too many to be broadcast.
+    """
+    means = df.groupBy(*keys).agg(*(F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(f"__mean_{c}") for c in columns))
+    out = df.join(means, list(keys))
+    return out.select(*((F.col(c) - F.col(f"__mean_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def sufficient_statistics(df: DataFrame, keys: Sequence[str], regressors: Sequence[str], y: str = "y") -> DataFrame:
@@ -98,19 +103,11 @@ def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int =
     """Pearson's r of jointly finite rows, clipped to [-1, 1]; null below ``least`` rows or without variance."""
     a, b = finite(F.col(x)), finite(F.col(y))
     rows = df.select(*keys, a.alias("_a"), b.alias("_b")).where("_a is not null and _b is not null")
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("_a", F.col("_a") - F.avg("_a").over(w)).withColumn("_b", F.col("_b") - F.avg("_b").over(w)) if keys else _centre_whole(rows)
-    out = rows.groupBy(*keys).agg(F.sum(F.col("_a") * F.col("_b")).alias("ab"), F.sum(F.col("_a") ** 2).alias("aa"), F.sum(F.col("_b") ** 2).alias("bb"), F.count("*").alias("n"))
+    out = rows.groupBy(*keys).agg(co_moment("_a", "_b").alias("ab"), co_moment("_a", "_a").alias("aa"), co_moment("_b", "_b").alias("bb"), F.count("*").alias("n"))
     r = F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb")))
     return out.select(*keys, F.when((F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), "n")
 
 
-def _centre_whole(rows: DataFrame) -> DataFrame:
-    """Centres without a window over the whole table: the means come as one row."""
-    means = rows.agg(F.avg("_a").alias("_ma"), F.avg("_b").alias("_mb"))
-    return rows.join(F.broadcast(means)).select((F.col("_a") - F.col("_ma")).alias("_a"), (F.col("_b") - F.col("_mb")).alias("_b"))
-
-
 def within_run_correlation(df: DataFrame, feature: str, run: str, x: str, y: str) -> DataFrame:
     """feature, scope, r, n: correlation of values centred within runs, for each run, all, odd and even runs.
 
@@ -118,8 +115,7 @@ def within_run_correlation(df: DataFrame, feature: str, run: str, x: str, y: str
     (pairs - 1) of 2 at least.
     """
     ok = df.select(feature, run, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y")).where("_x is not null and _y > 0")
-    c = centred(ok, [feature, run], ["_x", "_y"])
-    moments = c.groupBy(feature, run).agg(F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") ** 2).alias("xx"), F.sum(F.col("_y") ** 2).alias("yy"), F.count("*").alias("n"))
+    moments = ok.groupBy(feature, run).agg(co_moment("_x", "_y").alias("xy"), co_moment("_x", "_x").alias("xx"), co_moment("_y", "_y").alias("yy"), F.count("*").alias("n"))
     scopes = F.array(F.concat(F.lit("run-"), F.lpad(F.col(run).cast("string"), 2, "0")), F.lit("all"), F.when(F.col(run) % 2 == 0, "even").otherwise("odd"))
     pooled = moments.withColumn("scope", F.explode(scopes)).groupBy(feature, "scope").agg(*(F.sum(k).alias(k) for k in ("xy", "xx", "yy", "n")), F.count("*").alias("runs"))
     r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.operators import estimators as E
+from ripplemark.plans.design import some_runs
 from ripplemark.sources.ship import ship
 
 #: Features of a block, about.
@@ -296,7 +297,7 @@ def penalty_scores(packed: DataFrame, trials: Mapping[int, np.ndarray], nuisance
                 scores[i] += e.r2 / len(order)
         return pd.concat([_long(features, {"score": s}, penalty=float(v)) for v, s in zip(grid, scores, strict=True)])[["penalty", "feature", "score"]]
 
-    shared = (dict(trials), dict(nuisance), dict(predictors), dict(candidates) if candidates is not None else None, {k: dict(v) for k, v in kernel_trials.items()} if kernel_trials is not None else None)
+    shared = (dict(trials), dict(nuisance), dict(predictors), dict(candidates) if candidates is not None else None, None if kernel_trials is None else some_runs(kernel_trials, sorted(trials)))
     return by_block(packed, run, f"penalty double, feature {_kind(packed)}, score double", shared, block)
 
 

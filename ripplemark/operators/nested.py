@@ -13,6 +13,7 @@ from ripplemark.operators import dense as B
 from ripplemark.operators import estimators as E
 from ripplemark.operators import picks as P
 from ripplemark.operators.selected import selected_trials
+from ripplemark.plans.design import some_runs
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def tune(packed: DataFrame, problem: Problem, runs: Sequence[int]) -> Tuned:
         return {r: values[r] for r in chosen}
 
     own = None if p.candidates is None else of(p.candidates)
-    each = None if own is None else {k: of(v) for k, v in p.trials.items()}
+    each = None if own is None else some_runs(p.trials, chosen)
     scores = B.penalty_scores(some, of(p.trials[0]), of(p.nuisance), of(p.predictors), p.grid, p.kind, p.mode, own, each, p.block)
     kernels = some.select("feature").distinct().withColumn("kernel", F.lit(0)) if own is None else B.select_kernels(some, own, p.block).select("feature", "kernel")
     if p.kind == "fraction":
@@ -69,8 +70,7 @@ def tune(packed: DataFrame, problem: Problem, runs: Sequence[int]) -> Tuned:
 def coefficients(packed: DataFrame, problem: Problem, tuned: Tuned) -> DataFrame:
     """run, trial, feature, coef of all runs of the signal at the tuned kernels and penalties."""
     runs = sorted(problem.nuisance)
-    used = [r["kernel"] for r in tuned.picks.where("kernel is not null").select("kernel").distinct().collect()]  # kernels of a library
-    trials = {k: {r: problem.trials[k][r] for r in runs} for k in used or [0]}
+    trials = some_runs(problem.trials, runs)
     picks = tuned.picks.select("feature", "kernel", *([F.col("penalty").alias("fraction")] if tuned.alpha is None else []))
     return selected_trials(packed, picks, trials, problem.nuisance, tuned.alpha or 0.0, problem.block)
 

@@ -10,14 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.operators.aggregates import centred, r_squared
+from ripplemark.operators.aggregates import co_moment, r_squared
 
 
 def centred_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """keys, n, s_<p>_<q>: sums of products of columns centred within the keys (an intercept projected out)."""
-    rows = centred(df.select(*keys, *columns), keys, columns)
-    products = [F.sum(F.col(p) * F.col(q)).alias(f"s_{p}_{q}") for i, p in enumerate(columns) for q in columns[i:]]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *products)
+    products = [co_moment(p, q).alias(f"s_{p}_{q}") for i, p in enumerate(columns) for q in columns[i:]]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *products)
 
 
 def ols_one(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

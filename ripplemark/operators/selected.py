@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.operators import dense as B
 from ripplemark.operators import estimators as E
+from ripplemark.plans.design import some_runs
 
 
 def with_values(packed: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -47,7 +48,7 @@ def selected_trials(packed: DataFrame, picks: DataFrame, kernel_trials: Mapping[
             parts.append(pd.DataFrame({"run": r, "trial": np.repeat(np.arange(len(out)), len(features)), "feature": features * len(out), "coef": out.ravel()}))
         return pd.concat(parts)
 
-    shared = ({k: dict(v) for k, v in kernel_trials.items()}, dict(nuisance))
+    shared = (some_runs(kernel_trials, sorted(nuisance)), dict(nuisance))
     return _unpack(packed, picks, names, run, f"run int, trial int, feature {dict(packed.dtypes)['feature']}, coef double", shared, block)
 
 
@@ -123,4 +124,6 @@ def decoding_accuracy(df: DataFrame, fold: str, label: str, vector: str, rounds:
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("there are no folds")
-    return out
+    found = out.collect()  # one row for each fold
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(found, out.schema)

@@ -32,6 +32,7 @@ class Settings:
     percentile: float = 90.0
     encoding: str = "within_run"
     noise: str = "ar1"
+    denoise: bool = False
     block_size: int = 4096
     max_features: int | None = None
     skip: tuple[str, ...] = ()
@@ -60,7 +61,8 @@ class Settings:
 
     def least_runs(self) -> int:
         """Runs that the method needs: two for selection, three to tune a penalty by held-out runs with selection inside."""
-        return 3 if self.penalty != "none" and self.kernel_method == "cv" and "selection" in self.stages() else 2
+        inside = self.penalty != "none" and self.kernel_method == "cv" and "selection" in self.stages()
+        return 3 if inside or self.denoise else 2
 
     def command(self) -> list[str]:
         """The command line that gives these settings."""
@@ -73,7 +75,7 @@ class Settings:
                 out += ["--" + name.replace("_", "-"), str(getattr(self, name))]
         for s in self.skip:
             out += ["--skip", s]
-        return out + (["--overwrite"] if self.overwrite else [])
+        return out + [f"--{name}" for name in ("denoise", "overwrite") if getattr(self, name)]
 
 
 def settings_from(args: Mapping) -> Settings:

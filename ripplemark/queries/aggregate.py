@@ -46,7 +46,7 @@ b AS (SELECT feature, (row_number() OVER (ORDER BY feature) - 1) // 16 AS block
 SELECT run, block::INTEGER AS block, count(*) AS n, round(sum(y), 6) AS total FROM vec JOIN b USING (feature) GROUP BY ALL""")
 def block_scan(spark, d):
     s = T.vector_signal(spark, d)
-    rows = s.join(F.broadcast(T.feature_blocks(s, 16)), "feature")
+    rows = s.join(T.feature_blocks(s, 16), "feature")
     return rounded(rows.groupBy("run", "block").agg(F.count("*").alias("n"), F.sum("y").alias("total")))
 
 

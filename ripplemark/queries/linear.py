@@ -71,7 +71,7 @@ b AS (SELECT run, feature, sum(z * y) / sum(z * z) AS b FROM c GROUP BY ALL) SEL
 def residualise(spark, d):
     c = A.centred(_two(spark, d), ["run", "feature"], ["z", "y"])
     b = c.groupBy("run", "feature").agg(F.try_divide(F.sum(F.col("z") * F.col("y")), F.sum(F.col("z") * F.col("z"))).alias("b"))
-    return rounded(c.join(F.broadcast(b), ["run", "feature"]).select("run", "scan", "feature", (F.col("y") - F.col("b") * F.col("z")).alias("y")))
+    return rounded(c.join(b, ["run", "feature"]).select("run", "scan", "feature", (F.col("y") - F.col("b") * F.col("z")).alias("y")))
 
 
 # -- held-out prediction --
@@ -124,7 +124,7 @@ p AS (SELECT feature, min(candidate) AS candidate FROM m WHERE score >= top - 64
 SELECT p.feature, p.candidate, round(s.score, 8) AS score, round(z.score, 8) AS canonical_score, round(s.score - z.score, 8) + 0.0 AS delta
 FROM p JOIN sco s ON s.feature = p.feature AND s.candidate = p.candidate JOIN sco z ON z.feature = p.feature AND z.candidate = 0""")
 def kernel_select(spark, d):
-    scores = R.leave_one_run_out(_stats(spark, d)).persist()
+    scores = R.leave_one_run_out(_stats(spark, d))
     best = P.best_candidate(scores, ["feature"], "candidate", "score")
     base = scores.where("candidate = 0").select("feature", F.col("score").alias("canonical_score"))
     return rounded(best.join(base, "feature").withColumn("delta", F.col("score") - F.col("canonical_score")), 8)
@@ -143,7 +143,7 @@ def split_eval(spark, d):
 SELECT CASE WHEN st.run % 2 = 0 THEN 'odd_to_even' ELSE 'even_to_odd' END AS split, st.candidate, st.feature, round(1 - sum(greatest(0, c - 2 * beta * b + beta * beta * a)) / sum(c), 8) AS score
 FROM st JOIN f ON f.candidate = st.candidate AND f.feature = st.feature AND f.part <> st.run % 2 GROUP BY ALL""")
 def split_both_ways(spark, d):
-    s = _stats(spark, d).persist()
+    s = _stats(spark, d)
     odd, even = F.col("run") % 2 == 1, F.col("run") % 2 == 0
     one = R.split_scores(s, odd, even).select(F.lit("odd_to_even").alias("split"), "*")
     return rounded(one.unionByName(R.split_scores(s, even, odd).select(F.lit("even_to_odd").alias("split"), "*")), 8)
@@ -169,7 +169,7 @@ def _residual_ratios(spark, d):
     keys = ["run", "feature"]
     c = A.centred(T.event_signal(spark, d), keys, ["x", "y"])
     b = c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("b"))
-    e = c.join(F.broadcast(b), keys).select(*keys, "scan", (F.col("y") - F.col("b") * F.col("x")).alias("e"))
+    e = c.join(b, keys).select(*keys, "scan", (F.col("y") - F.col("b") * F.col("x")).alias("e"))
     return W.lag_moments(e, keys, "scan", "e").select(*keys, "ratio")
 
 
@@ -218,11 +218,12 @@ b AS (SELECT feature, sum(x * y) / sum(x * x) AS b FROM tr GROUP BY feature), te
 SELECT feature, round(any_value(b.b), 8) AS slope, round(1 - sum((y - b.b * x) ** 2) / sum(y * y), 8) AS r2 FROM te JOIN b USING (feature) GROUP BY feature""")
 def encoding_within(spark, d):
     j = T.vector_signal(spark, d).withColumn("x", (F.col("scan") % 5).cast("double"))
-    c = A.centred(j, ["feature", "run"], ["x", "y"])
-    b = c.where("run < 5").groupBy("feature").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") ** 2)).alias("slope"))
-    e = c.where("run >= 5").join(F.broadcast(b), "feature")
-    r2 = 1 - F.try_divide(F.sum((F.col("y") - F.col("slope") * F.col("x")) ** 2), F.sum(F.col("y") ** 2))
-    return rounded(e.groupBy("feature").agg(F.first("slope").alias("slope"), r2.alias("r2")), 8)
+    s = R.centred_sums(j, ["feature", "run"], ["x", "y"])
+    xx, xy, yy, train = F.col("s_x_x"), F.col("s_x_y"), F.col("s_y_y"), F.col("run") < 5
+    sums = s.groupBy("feature").agg(*(F.sum(F.when(train == own, c)).alias(f"{n}_{'train' if own else 'test'}") for n, c in (("xx", xx), ("xy", xy), ("yy", yy)) for own in (True, False)))
+    slope = F.try_divide(F.col("xy_train"), F.col("xx_train"))
+    lost = F.col("yy_test") - 2 * slope * F.col("xy_test") + slope * slope * F.col("xx_test")
+    return rounded(sums.where("yy_test is not null").select("feature", slope.alias("slope"), (1 - F.try_divide(lost, F.col("yy_test"))).alias("r2")), 8)
 
 
 @query("encoding_absolute", f"""WITH {VECTORS}, j AS (SELECT *, (scan % 5)::DOUBLE AS x FROM vec), b AS (SELECT feature, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM j WHERE run < 5 GROUP BY feature),
@@ -230,5 +231,5 @@ e AS (SELECT j.feature, j.run, sum((y - a - b * x) ** 2) AS sse, var_pop(y) * co
 def encoding_absolute(spark, d):
     j = T.vector_signal(spark, d).withColumn("x", (F.col("scan") % 5).cast("double"))
     b = j.where("run < 5").groupBy("feature").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    e = j.where("run >= 5").join(F.broadcast(b), "feature").withColumn("fitted", F.col("a") + F.col("b") * F.col("x"))
+    e = j.where("run >= 5").join(b, "feature").withColumn("fitted", F.col("a") + F.col("b") * F.col("x"))
     return rounded(A.pooled_r2(A.sums_of_squares(e, ["feature", "run"]), ["feature"]).select("feature", "r2"), 8)

@@ -86,10 +86,10 @@ def feature_set_check(spark, d):
     return S.identical_features(T.order_signal(spark, d))
 
 
-@query("discover_runs", "SELECT coalesce(n_nationkey, c_nationkey)::INTEGER AS nation, n_nationkey IS NULL AS extra, c_nationkey IS NULL AS missing FROM nation FULL JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000) c ON n_nationkey = c_nationkey WHERE n_nationkey IS NULL OR c_nationkey IS NULL")
+@query("discover_runs", "SELECT coalesce(n_nationkey, c_nationkey)::INTEGER AS nation, n_nationkey IS NULL AS extra, c_nationkey IS NULL AS missing FROM nation FULL JOIN (SELECT DISTINCT label AS c_nationkey FROM embeddings) c ON n_nationkey = c_nationkey WHERE n_nationkey IS NULL OR c_nationkey IS NULL")
 def discover_runs(spark, d):
     n = T.table(spark, d, "nation").select("n_nationkey")
-    c = T.table(spark, d, "customer").where("c_acctbal > 9000").select("c_nationkey").distinct()
+    c = T.table(spark, d, "embeddings").select(F.col("label").cast("long").alias("c_nationkey")).distinct()
     rows = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "full").where("n_nationkey is null or c_nationkey is null")
     return rows.select(F.coalesce("n_nationkey", "c_nationkey").cast("int").alias("nation"), F.col("n_nationkey").isNull().alias("extra"), F.col("c_nationkey").isNull().alias("missing"))
 
@@ -154,7 +154,8 @@ def scoring_space(spark, d):
     v = T.vector_signal(spark, d)
     runs, features = v.select("run").distinct(), v.select("feature").distinct()
     kernels = F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("candidate")))
-    return runs.join(kernels, how="cross").join(F.broadcast(features), how="cross").groupBy("run", "candidate").agg(F.count("*").alias("features"))
+    # the space is a product of dimensions: its size is counted from theirs, without its rows
+    return runs.join(kernels, how="cross").join(F.broadcast(features.agg(F.count("*").alias("features"))), how="cross").select("run", "candidate", "features")
 
 
 # -- reshapes --
@@ -173,10 +174,13 @@ def trial_table(spark, d):
     return S.trial_ids(T.event_table(spark, d)).select("event_id", F.col("trial_index").cast("long").alias("trial_index"), "trial_id")
 
 
-@query("scatter_blocks", f"WITH {VECTORS} SELECT f.feature, round(avg(v.y), 8) AS mean FROM (SELECT unnest(range(64))::INTEGER AS feature) f LEFT JOIN vec v ON v.feature = f.feature AND f.feature % 3 = 0 GROUP BY f.feature")
+@query("scatter_blocks", f"WITH {VECTORS} SELECT f.feature, round(CASE WHEN max(v.y) <> min(v.y) THEN avg(v.y) END, 8) AS mean FROM (SELECT unnest(range((SELECT max(feature) + 3 FROM vec)))::INTEGER AS feature) f LEFT JOIN vec v ON v.feature = f.feature GROUP BY f.feature")
 def scatter_blocks(spark, d):
-    means = T.vector_signal(spark, d).where("feature % 3 = 0").groupBy("feature").agg(F.avg("y").alias("mean"))
-    return rounded(S.scatter(means, spark.range(64).select(F.col("id").cast("int").alias("feature")), "feature"), 8)
+    """Means of the features that the blocks hold (constant ones are skipped), on an axis that goes two places beyond the last feature."""
+    v = T.vector_signal(spark, d)
+    means = v.groupBy("feature").agg(F.avg("y").alias("mean"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("feature", "mean")
+    axis = v.agg(F.max("feature").alias("last")).select(F.explode(F.sequence(F.lit(0), F.col("last") + 2)).cast("int").alias("feature"))
+    return rounded(S.scatter(means, axis, "feature"), 8)
 
 
 @query("pivot_scopes", f"WITH {CELLS} SELECT feature, round(sum(y) FILTER (run % 2 = 0), 4) AS even, round(sum(y) FILTER (run % 2 = 1), 4) AS odd FROM cells GROUP BY feature")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ripplemark.operators.aggregates import co_moment
+
 
 def moments(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """keys, n, sx, sy, xx, xy, yy: sums that add over parts of the data, batch or stream."""
-    a, b = F.col(x), F.col(y)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("xx"), F.sum(a * b).alias("xy"), F.sum(b * b).alias("yy"))
+    """keys, n, sx, sy and the sums of products about the means xx, xy, yy, which merge over parts of the data without cancellation, batch or stream."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), co_moment(x, x).alias("xx"), co_moment(x, y).alias("xy"), co_moment(y, y).alias("yy"))
 
 
 def windowed_moments(rows: DataFrame, time: str, length: str, late: str, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -22,9 +23,7 @@ def windowed_moments(rows: DataFrame, time: str, length: str, late: str, keys: S
 
 def effects(m: DataFrame) -> DataFrame:
     """Slope of y on x and an intercept, from moments; null where x is constant."""
-    cxx = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n")
-    cxy = F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")
-    return m.withColumn("effect", F.when(cxx > 0, F.try_divide(cxy, cxx)))
+    return m.withColumn("effect", F.when(F.col("xx") > 0, F.try_divide(F.col("xy"), F.col("xx"))))
 
 
 def start(frame: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

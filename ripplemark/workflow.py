@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplemark.operators import denoising as N
 from ripplemark.operators import dense as B
 from ripplemark.operators import diagnostics as D
 from ripplemark.operators import estimators as E
-from ripplemark.operators import picks as P
+from ripplemark.operators.nested import Problem, Tuned, coefficients, nested_evaluation, tune
 from ripplemark.plans import design as X
 from ripplemark.plans.kernels import Library, default_library
 from ripplemark.plans.model import TaskModel, contrast_vector
@@ -48,7 +49,8 @@ def load(spark: SparkSession, settings: Settings) -> tuple[Session, Record]:
         e = files.read_events(spark, f.events).orderBy("event_index").toPandas()  # a run's events: hundreds
         e["response_time"] = e["response_time"].where(e["response_time"] > 0)
         events[f.run] = e
-        times[f.run] = np.array([r["t"] for r in rows.select("scan", "t").distinct().orderBy("scan").collect()])  # a run's scans: hundreds
+        one = rows.select("feature").first()  # the scans of one feature are those of the run
+        times[f.run] = np.array([r["t"] for r in rows.where(F.col("feature") == F.lit(one["feature"] if one else None)).select("scan", "t").distinct().orderBy("scan").collect()])  # hundreds
         confounds[f.run] = files.read_table(spark, f.confounds).toPandas().apply(pd.to_numeric) if f.confounds else None
     assert signal is not None
     sources = tuple(Source(role, uri=u) for f in found for role, u in (("signal", f.signal), ("events", f.events)))
@@ -73,18 +75,45 @@ def candidate_designs(session: Session, library: Library, model: TaskModel) -> d
     return out
 
 
+def denoised(session: Session, signal: DataFrame, settings: Settings) -> tuple[Session, N.Denoising]:
+    """The session with noise components among its confounds, found with one response shared by all events."""
+    ns = nuisance(session)
+    task = {r: X.event_responses(session.events[r], session.times[r]).sum(axis=1, keepdims=True) for r in session.runs}
+    found = N.select_components(signal, task, ns, noise=settings.noise, block=settings.block_size)
+    confounds = {}
+    for r in session.runs:
+        own = pd.DataFrame(found.components[r], columns=found.names())
+        old = session.confounds[r]
+        confounds[r] = own if old is None else pd.concat([old.reset_index(drop=True), own], axis=1)
+    return replace(session, confounds=confounds), found
+
+
+def trial_problem(session: Session, settings: Settings, model: TaskModel, library: Library | None) -> Problem:
+    """What tuning needs: trial designs of the library's kernels (or the canonical one), predictors, the grid."""
+    chosen = library or Library.of([])
+    trials = X.LazyTrials(session.events, session.times, chosen.kernel, len(chosen))
+    kind, grid = ("ridge", settings.alphas) if settings.penalty == "ridge_cv" else ("fraction", settings.fractions)
+    predictors = {r: np.column_stack([v for m in settings.modulators for v in X.amplitudes(session.events[r], m).values()]) for r in session.runs} if settings.modulators else {}
+    candidates = candidate_designs(session, library, model) if library else None
+    return Problem(trials, nuisance(session), predictors, grid, kind, candidates, settings.encoding, settings.percentile / 100, settings.block_size)
+
+
 def analyse(session: Session, settings: Settings, library: Library | None = None) -> dict[str, DataFrame]:
-    """Result tables of the stages that run."""
+    """Result tables of the stages that run. Trials have the kernels of the selection and the penalty that was tuned with them."""
     stages = settings.stages()
     model = TaskModel(settings.modulators)
     rows = session.signal.select("run", "scan", "feature", "y")
     if settings.max_features is not None:  # a caller's limit
         rows = rows.join(feature_blocks(rows, settings.block_size, settings.max_features).select("feature"), "feature", "left_semi")
     signal = packed(rows)
-    ns = nuisance(session)
     out: dict[str, DataFrame] = {}
-    if "selection" in stages:
-        library = library or default_library(settings.kernel_samples, settings.kernel_seed)
+    if settings.denoise:
+        session, found = denoised(session, signal, settings)
+        out["denoising"] = found.scores.withColumn("chosen", F.col("count") == found.count)
+    ns = nuisance(session)
+    select = "selection" in stages
+    library = (library or default_library(settings.kernel_samples, settings.kernel_seed)) if select else None
+    if library:
         out["kernels"] = B.select_kernels(signal, candidate_designs(session, library, model), settings.block_size)
     if "glms" in stages:
         designs = {r: X.compile_design(session.events[r], session.times[r], session.confounds[r], task_model=model) for r in session.runs}
@@ -92,19 +121,44 @@ def analyse(session: Session, settings: Settings, library: Library | None = None
         out["effects"] = B.fit_glm(signal, {r: d.matrix for r, d in designs.items()}, contrasts, settings.noise, settings.block_size)
         out["task_r2"] = B.task_delta_r2(signal, {r: d.matrix for r, d in designs.items()}, ns, settings.block_size)
     if "trials" in stages:
-        trials = {r: X.event_responses(session.events[r], session.times[r]) for r in session.runs}
-        out["trials"] = B.trial_coefficients(signal, trials, ns, block=settings.block_size)
+        problem = trial_problem(session, settings, model, library)
         if settings.penalty != "none" and settings.modulators:
-            predictors = {r: np.column_stack([v for m in settings.modulators for v in X.amplitudes(session.events[r], m).values()]) for r in session.runs}
-            kind, grid = ("ridge", settings.alphas) if settings.penalty == "ridge_cv" else ("fraction", settings.fractions)
-            scores = B.penalty_scores(signal, trials, ns, predictors, grid, kind, settings.encoding, block=settings.block_size)
-            share = settings.percentile / 100
-            out["penalty"] = P.best_penalty(scores, "feature", "penalty", "score", share) if kind == "ridge" else P.best_fraction(scores, ["feature"], "penalty", "score")
+            tuned = tune(signal, problem, session.runs)
+            out["penalty"] = tuned.picks
+            if len(session.runs) >= 6:  # three runs on either side
+                out["outer"] = nested_evaluation(signal, problem)[0]
+        else:
+            kernels = out["kernels"].select("feature", "kernel") if library else signal.select("feature").distinct().withColumn("kernel", F.lit(0))
+            tuned = Tuned(kernels, 0.0, kernels)
+        out["trials"] = coefficients(signal, problem, tuned)
     if "summaries" in stages:
         out["activation"] = D.one_sample_t(out["trials"], "feature", "coef")
     return out
 
 
+def reliability(picks: Mapping[str, DataFrame], library: Library) -> DataFrame:
+    """feature, pairs, r, canonical_r, delta: how alike the kernels are that sessions choose. picks: session to its table of kernels."""
+    rows = None
+    for name, table in sorted(picks.items()):
+        own = table.select(F.lit(name).alias("session"), "feature", "kernel")
+        rows = own if rows is None else rows.unionByName(own)
+    if rows is None or len(picks) < 2:
+        raise ValueError("reliability needs two sessions")
+    return D.session_reliability(rows, D.curve_correlations(library.frame(rows.sparkSession)), "session", "feature", "kernel")
+
+
+def run_sessions(spark: SparkSession, wanted: Sequence[Settings], library: Library | None = None) -> list[Record]:
+    """Sessions one after the other; several that publish to one folder get a folder each in it, and their reliability beside them."""
+    several = len(wanted) > 1
+    each = [replace(s, output_dir=f"{s.output_dir}/ses-{s.session}") if several and s.output_dir else s for s in wanted]
+    records = [run(spark, s, library) for s in each]
+    if several and all(s.output_dir and "selection" in s.stages() for s in wanted) and len({s.output_dir for s in wanted}) == 1:
+        chosen = library or default_library(wanted[0].kernel_samples, wanted[0].kernel_seed)
+        picks = {s.session: spark.read.parquet(f"{s.output_dir}/kernels") for s in each}
+        publish_tables(spark, f"{wanted[0].output_dir}/reliability", {"sessions": reliability(picks, chosen)}, overwrite=wanted[0].overwrite)
+    return records
+
+
 def dry_run(spark: SparkSession, settings: Settings) -> Plan:
     names = files.list_names(spark, settings.input_dir)
     return plan(settings, names)

@@ -156,7 +156,7 @@ def test_files(spark, tmp_path):
     assert names[24:] == [f"a_comp_cor_{i:02d}" for i in (6, 5, 4, 3, 2, 1)] + ["cosine00"]
 
 
-def test_workflow(spark, tmp_path):
+def test_workflow(spark, tmp_path, monkeypatch):
     from ripplemark import workflow
     from ripplemark.plans.kernels import Library
     from ripplemark.plans.model import Modulator
@@ -181,6 +181,31 @@ def test_workflow(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out" / name)).count() == n
     with pytest.raises(Exception):
         workflow.run(spark, s, Library.of([]))
+    lib = Library.of([(5.0, 16.0, 1.0, 1.0, 6.0, 0.0, 32.0)])
+    kernels = spark.read.parquet(str(tmp_path / "out" / "kernels"))
+    same = workflow.reliability({"a": kernels, "b": kernels}, lib).collect()
+    assert len(same) == 3 and all(r["r"] == pytest.approx(1) and r["pairs"] == 1 for r in same)
+    with pytest.raises(ValueError):
+        workflow.reliability({"a": kernels}, lib)
+    # trials have each feature's own kernel and the fraction that was tuned for it
+    from ripplemark.operators import estimators as E
+    from ripplemark.plans import design as X
+
+    session, _ = workflow.load(spark, s)
+    picks = {r["feature"]: r for r in spark.read.parquet(str(tmp_path / "out" / "penalty")).collect()}
+    ns = workflow.nuisance(session)
+    got = {(r["run"], r["feature"], r["trial"]): r["coef"] for r in spark.read.parquet(str(tmp_path / "out" / "trials")).collect()}
+    rows = session.signal.toPandas()
+    for f, pick in picks.items():
+        x = X.event_responses(session.events[2], session.times[2], lib.parameters[pick["kernel"]])
+        y = rows[(rows["run"] == 2) & (rows["feature"] == f)].sort_values("scan")[["y"]].to_numpy()
+        want = E.TrialPath.of(x, ns[2], False).fractional(y, pick["penalty"])[0][:, 0]
+        np.testing.assert_allclose([got[2, f, t] for t in range(8)], want, rtol=1e-8)
+    monkeypatch.setattr(workflow.N, "pool_threshold", lambda stat: 0.5)  # three features make no mixture
+    more = workflow.analyse(session, Settings(str(tmp_path), "1", "a", "t", modulators=s.modulators, penalty="none", denoise=True, skip=("glms", "summaries")), lib)
+    assert more["denoising"].where("chosen").count() == 1 and more["trials"].count() == 72
+    more = workflow.analyse(session, Settings(str(tmp_path), "1", "a", "t", modulators=s.modulators, penalty="ridge_cv", skip=("selection", "glms")), lib)
+    assert more["penalty"].select("penalty").distinct().count() == 1 and more["trials"].where("coef is not null").count() == 72
 
 
 def test_streaming_moments_equal_batch(spark, tmp_path):
@@ -195,5 +220,7 @@ def test_streaming_moments_equal_batch(spark, tmp_path):
     got = {(r["window"]["start"], r["k"]): (r["n"], r["xy"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = S.moments(df.withColumn("window", F.window("t", "1 hour")), ["window", "k"]).collect()
     want = {(r["window"]["start"], r["k"]): (r["n"], r["xy"]) for r in batch}
-    assert got and all(want[k] == v for k, v in got.items())
+    assert got and all(want[k] == pytest.approx(v) for k, v in got.items())
+    far = S.effects(S.moments(df.select("k", (F.col("x") + 1e9).alias("x"), (3 * F.col("x") + 1e9).alias("y")), ["k"])).collect()
+    assert all(r["effect"] == pytest.approx(3) for r in far)  # means far from 0 cancel nothing
     assert S.effects(S.moments(df, ["k"])).where("effect is not null").count() == 2
