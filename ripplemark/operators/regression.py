@@ -72,13 +72,12 @@ def delta_r2(df: DataFrame, feature: str, run: str, x: str, nuisance: str, y: st
 def candidate_statistics(signal: DataFrame, regressors: DataFrame, y: str = "y", x: str = "x") -> DataFrame:
     """run, candidate, feature, a, b, c: sums of products with an intercept projected out.
 
-    signal: run, scan, feature, y; regressors: run, scan, candidate, x. The regressors are a design, which does not grow with the features.
+    signal: run, scan, feature, y, with all scans of a run; regressors: run, scan, candidate, x. The regressors are a design, which does not grow with the features.
     """
-    design = centred(regressors, ["run", "candidate"], [x])
-    a = design.groupBy("run", "candidate").agg(F.sum(F.col(x) * F.col(x)).alias("a"))
-    rows = centred(signal.select("run", "scan", "feature", y), ["run", "feature"], [y])
-    c = rows.groupBy("run", "feature").agg(F.sum(F.col(y) * F.col(y)).alias("c"))
-    b = rows.join(design, ["run", "scan"]).groupBy("run", "candidate", "feature").agg(F.sum(F.col(x) * F.col(y)).alias("b"))
+    a = regressors.groupBy("run", "candidate").agg(co_moment(x, x).alias("a"))
+    c = signal.groupBy("run", "feature").agg(co_moment(y, y).alias("c"))
+    rows = signal.select("run", "scan", "feature", y).join(regressors.select("run", "scan", "candidate", x), ["run", "scan"])
+    b = rows.groupBy("run", "candidate", "feature").agg(co_moment(x, y).alias("b"))
     return b.join(a, ["run", "candidate"]).join(c, ["run", "feature"]).select("run", "candidate", "feature", "a", "b", "c")
 
 

@@ -179,7 +179,7 @@ def scatter_blocks(spark, d):
     """Means of the features that the blocks hold (constant ones are skipped), on an axis that goes two places beyond the last feature."""
     v = T.vector_signal(spark, d)
     means = v.groupBy("feature").agg(F.avg("y").alias("mean"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("feature", "mean")
-    axis = v.agg(F.max("feature").alias("last")).select(F.explode(F.sequence(F.lit(0), F.col("last") + 2)).cast("int").alias("feature"))
+    axis = v.agg(F.max("feature").alias("last")).select(F.explode(F.sequence(F.lit(0), (F.col("last") + 2).cast("int"))).alias("feature"))
     return rounded(S.scatter(means, axis, "feature"), 8)
 
 
@@ -354,11 +354,11 @@ def table_fingerprint(spark, d):
     return table_digest(T.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("online_moments", f"WITH {CELLS} SELECT run, feature, count(*) AS n, round(sum(x * y), 4) AS xy, round(sum(y * y), 4) AS yy FROM cells GROUP BY ALL")
+@query("online_moments", f"WITH {CELLS} SELECT run, feature, count(*) AS n, round(covar_pop(x, y) * count(*), 6) + 0.0 AS xy, round(var_pop(y) * count(*), 6) + 0.0 AS yy FROM cells GROUP BY ALL")
 def online_moments(spark, d):
     from ripplemark.streaming.moments import moments
 
     m = moments(T.event_cells(spark, d), ["run", "feature"])
-    return rounded(m.select("run", "feature", "n", "xy", "yy"), 4)
+    return rounded(m.select("run", "feature", "n", "xy", "yy"), 6)
 
 
