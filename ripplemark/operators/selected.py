@@ -38,15 +38,14 @@ def selected_trials(packed: DataFrame, picks: DataFrame, kernel_trials: Mapping[
 
     def run(features, signals, given):
         own, (xs, ns) = given
-        parts = []
-        for r, y in signals.items():
-            out = np.full((next(iter(xs.values()))[r].shape[1], len(features)), np.nan)
-            for k in np.unique(own["kernel"][np.isfinite(own["kernel"])]):
-                cols = np.flatnonzero(own["kernel"] == k)
+        width = {r: next(iter(xs.values()))[r].shape[1] for r in signals}
+        out = {r: np.full((width[r], len(features)), np.nan) for r in signals}
+        for k in np.unique(own["kernel"][np.isfinite(own["kernel"])]):
+            cols = np.flatnonzero(own["kernel"] == k)
+            for r, y in signals.items():
                 path = E.TrialPath.of(xs[int(k)][r], ns[r], "fraction" not in own)
-                out[:, cols] = path.fractional(y[:, cols], own["fraction"][cols])[0] if "fraction" in own else path.ridge(y[:, cols], alpha)
-            parts.append(pd.DataFrame({"run": r, "trial": np.repeat(np.arange(len(out)), len(features)), "feature": features * len(out), "coef": out.ravel()}))
-        return pd.concat(parts)
+                out[r][:, cols] = path.fractional(y[:, cols], own["fraction"][cols])[0] if "fraction" in own else path.ridge(y[:, cols], alpha)
+        return pd.concat([pd.DataFrame({"run": r, "trial": np.repeat(np.arange(len(v)), len(features)), "feature": features * len(v), "coef": v.ravel()}) for r, v in out.items()])
 
     shared = (some_runs(kernel_trials, sorted(nuisance)), dict(nuisance))
     return _unpack(packed, picks, names, run, f"run int, trial int, feature {dict(packed.dtypes)['feature']}, coef double", shared, block)
