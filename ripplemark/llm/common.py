@@ -41,10 +41,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -52,6 +54,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which a returned DataFrame reads."""
+        self.drop(*sorted(self.names - set(names)))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -225,7 +225,7 @@ class JaccardJoin:
         labelled = self.classes.select("key", "doc", "first").join(comp, F.col("key") == F.col("node"), "left").select("key", "doc", "first", F.coalesce("component", "key").alias("component"))
         least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"), F.min("first").alias("first"))
         of_class = scratch.save(labelled.drop("first").join(least, "component").select("key", "first", "component_id"), "result")
-        self.scratch.drop("classes", "grouped")
+        self.scratch.keep("profile", "result")
         joined = own.where("n > 0").select("doc_id", "h", "n", "key").join(of_class, "key").select("doc_id", "h", "n", "first", "component_id")
         alone = own.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast(dict(of_class.dtypes)["first"]).alias("first"), F.col("doc_id").alias("component_id"))
         return joined.unionByName(alone)
@@ -402,6 +402,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.broadcast(rows) if few else rows
 
     kept = df.join(side(placed.where("gone").select("__id", "__h")), here, "left_anti")
-    repeated = side(placed.where("not gone and rows > 1").select("__id", "__h"))
+    repeated = placed.where("not gone and rows > 1").select("__id", "__h")
+    if repeated.isEmpty():
+        return kept
+    repeated = side(repeated)
     once = kept.join(repeated, here, "left_semi").dropDuplicates([id_col, text_col])
     return kept.join(repeated, here, "left_anti").unionByName(once)
