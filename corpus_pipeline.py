@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.llm import jaccard, langid, packing, personal, toxicity
-from ripplemark.llm.common import documents, shared_dir
+from ripplemark.llm.common import Scratch, documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,10 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again, in the shared folder."""
+    """All stages over documents; each result is written to the shared folder and read again; the one before it goes."""
     docs = documents(spark, sf_dir)
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    scratch, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)  # what the stage read is written anew
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
