@@ -40,6 +40,8 @@ COUNT_BITS, REPORTED = 24, 4
 SALTED = 20_000
 #: Classes that share a shingle, above which they are compared in blocks.
 BIG = 256
+#: Blocks of a shingle that one task compares with all others of it, about.
+TASK_BLOCKS = 64
 #: Open pairs for each row from which neighbours in random orders are tried first.
 MANY_OPEN = 32
 #: Frequent buckets that order shingles; the most frequent ones. The others go first, which changes no result.
@@ -287,8 +289,8 @@ class JaccardJoin:
         members = members.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("all") / 128)))
         blocks = members.groupBy("gram", "main", "part").agg(F.collect_list(F.struct("key", "n", "pos", "component", "sketch")).alias("m"))  # about 128 by the hash
         blocks = self.scratch.save(blocks, "blocks")
-        # a shingle's blocks meet in as many tasks as the root of their number: one side is dealt out, the other copied
-        number = blocks.groupBy("gram").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("tasks"))
+        # a shingle's blocks meet in several tasks, at most the root of their number: one side is dealt out, the other copied
+        number = blocks.groupBy("gram").agg(F.least(F.ceil(F.sqrt(F.count("*"))), F.ceil(F.count("*") / TASK_BLOCKS)).cast("int").alias("tasks"))
         blocks = blocks.join(number, "gram")
         x = blocks.where("not main").withColumn("task", F.pmod(F.xxhash64("part"), F.col("tasks")).cast("int")).alias("x")
         y = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("y")

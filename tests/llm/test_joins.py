@@ -141,6 +141,7 @@ def test_nulls_and_repeats(spark):
 def test_blocks_of_a_hot_shingle_meet_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BIG", 4)
     monkeypatch.setattr(jaccard, "MANY_OPEN", 10**9)
+    monkeypatch.setattr(jaccard, "TASK_BLOCKS", 1)
     rng = random.Random(12)
     passage = [f"p{i}" for i in range(30)]
     texts = [" ".join(passage + [f"t{k}x{i}" for i in range(rng.choice([3, 4, 6, 9]))]) for k in range(400)]
