@@ -153,7 +153,7 @@ def encode_trials(spark, d):
     return rounded(B.encode_coefficients(coefs, _predictors(), [0, 2, 4], [1, 3, 5]), 8)
 
 
-@query("ridge_cv")
+@query("ridge_cv", W.ridge_cv(_trials()[0], nuisances()[0], _predictors(), [0.0, 0.1, 1.0, 10.0]))
 def ridge_cv(spark, d):
     scores = B.penalty_scores(packed_events(spark, d), _trials(), nuisances(), _predictors(), [0.0, 0.1, 1.0, 10.0])
     return rounded(P.best_penalty(scores, "feature", "penalty", "score"), 8)

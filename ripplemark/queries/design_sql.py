@@ -120,3 +120,21 @@ s AS (SELECT feature, run IN ({tr}) AS own, avg(b) AS mean, sum(x1 * x1) AS a11,
 m AS (SELECT feature, mean, (c1 * a22 - c2 * a12) / (a11 * a22 - a12 * a12) AS s1, (c2 * a11 - c1 * a12) / (a11 * a22 - a12 * a12) AS s2 FROM s WHERE own)
 SELECT feature, round(1 - (cc - 2 * (s1 * c1 + s2 * c2) + s1 * s1 * a11 + 2 * s1 * s2 * a12 + s2 * s2 * a22) / cc, 8) + 0.0 AS r2, round(m.mean, 8) + 0.0 AS slope_0, round(s1, 8) + 0.0 AS slope_1, round(s2, 8) + 0.0 AS slope_2
 FROM m JOIN s USING (feature) WHERE NOT own"""
+
+
+def ridge_cv(x: np.ndarray, nuisance: np.ndarray, predictors: dict[int, np.ndarray], grid: list[float]) -> str:
+    """Two predictors; each run is held out once, at each penalty."""
+    weights = np.concatenate([ridge_weights(x, nuisance, a) for a in grid])
+    rows = ", ".join(f"({r}, {t}, {v[0]:.17e}, {v[1]:.17e})" for r, p in predictors.items() for t, v in enumerate(p - p.mean(axis=0)))
+    n = x.shape[1]
+    return f"""WITH {LISTS}, {vectors("w", "place", weights)}, d(run, trial, x1, x2) AS (VALUES {rows}),
+b AS (SELECT p.run, p.feature, w.place // {n} AS i, w.place % {n} AS trial, list_inner_product(v, y) AS b FROM p, w),
+j AS (SELECT b.run, b.feature, b.i, d.x1::DOUBLE AS x1, d.x2::DOUBLE AS x2, b - avg(b) OVER (PARTITION BY b.run, b.feature, b.i) AS c FROM b JOIN d USING (run, trial)),
+s AS (SELECT run, feature, i, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * c) AS c1, sum(x2 * c) AS c2, sum(c * c) AS cc FROM j GROUP BY ALL),
+h AS (SELECT s.run, s.feature, s.i, any_value(s.a11) AS a11, any_value(s.a12) AS a12, any_value(s.a22) AS a22, any_value(s.c1) AS c1, any_value(s.c2) AS c2, any_value(s.cc) AS cc,
+  sum(o.a11) AS o11, sum(o.a12) AS o12, sum(o.a22) AS o22, sum(o.c1) AS o1, sum(o.c2) AS o2 FROM s JOIN s o ON o.feature = s.feature AND o.i = s.i AND o.run <> s.run GROUP BY ALL),
+m AS (SELECT *, (o1 * o22 - o2 * o12) / (o11 * o22 - o12 * o12) AS s1, (o2 * o11 - o1 * o12) / (o11 * o22 - o12 * o12) AS s2 FROM h),
+r AS (SELECT i, feature, avg(1 - (cc - 2 * (s1 * c1 + s2 * c2) + s1 * s1 * a11 + 2 * s1 * s2 * a12 + s2 * s2 * a22) / cc) AS score FROM m GROUP BY ALL),
+o AS (SELECT ([{", ".join(map(repr, grid))}])[i + 1]::DOUBLE AS penalty, quantile_cont(score, 0.9) AS objective FROM r GROUP BY i),
+k AS (SELECT min(penalty) AS penalty FROM o WHERE objective >= (SELECT max(objective) FROM o) - 1e-12)
+SELECT penalty, round(objective, 8) + 0.0 AS objective, penalty IN (SELECT min(penalty) FROM o UNION ALL SELECT max(penalty) FROM o) AS at_boundary FROM o JOIN k USING (penalty)"""
