@@ -127,9 +127,9 @@ def word_model(t: np.ndarray, o: np.ndarray, share: np.ndarray, totals: dict, st
     return np.append((t - d_t) / n_t, 0.0) + l_t * shared, np.append((o - d_o) / n_o, 0.0) + l_o * shared
 
 
-def assemble(words: pd.DataFrame, pairs: pd.DataFrame, heads: pd.DataFrame, totals: dict, step: float) -> Model:
-    """A model of one step. words: word, t, o, share; pairs: first, second, t, o; heads: first, t, o, and l_t, l_o of this step."""
-    vocabulary = {w: i for i, w in enumerate(sorted({*words["word"], *heads["first"]}))}
+def assemble(words: pd.DataFrame, pairs: pd.DataFrame, heads: pd.DataFrame, totals: dict, step: float, vocabulary: dict[str, int]) -> Model:
+    """A model of one step. words: word, t, o, share; pairs: first, second, t, o; heads: first, t, o, and l_t, l_o of this step.
+    The models of all steps share the vocabulary, which is sent once."""
     size = len(vocabulary)
     at = words["word"].map(vocabulary).to_numpy(np.int64)
     p_t, p_o = word_model(words["t"].to_numpy(float), words["o"].to_numpy(float), words["share"].to_numpy(float), totals, step)
@@ -241,7 +241,8 @@ def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
         whole.unpersist()
         words.unpersist()
         everywhere.unpersist()
-    return [assemble(own, kept, heads.assign(l_t=heads[f"t{i}"] / heads["t"].clip(lower=1), l_o=heads[f"o{i}"] / heads["o"].clip(lower=1)), totals, s) for i, s in enumerate(STEPS)]
+    vocabulary = {w: i for i, w in enumerate(sorted({*own["word"], *heads["first"]}))}
+    return [assemble(own, kept, heads.assign(l_t=heads[f"t{i}"] / heads["t"].clip(lower=1), l_o=heads[f"o{i}"] / heads["o"].clip(lower=1)), totals, s, vocabulary) for i, s in enumerate(STEPS)]
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
@@ -267,15 +268,16 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
             found = [m.evidence(some) for m in shared.value]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(np.stack([x for x, _ in found], 1).tolist(), pa.list_(pa.float64())), pa.array(found[0][1], pa.int64())], ["toxic", "evidence", "n"])
 
-    held = map_arrow(sample.where("not counted").select("toxic", "text"), measure, "toxic int, evidence array<double>, n long").collect()  # part of the bounded sample
-    y, n = np.array([r["toxic"] for r in held], float), np.array([r["n"] for r in held], float)
-    if len({r["toxic"] for r in held}) < 2:
+    held = map_arrow(sample.where("not counted").select("toxic", "text"), measure, "toxic int, evidence array<double>, n long").toPandas()  # part of the bounded sample
+    y, n = held["toxic"].to_numpy(float), held["n"].to_numpy(float)
+    if len(set(y.tolist())) < 2:
         best = models[len(models) // 2]
         best.weight, best.bias = 1.0, math.log(sizes[1] / sizes[0])
         return best
+    evidence = np.stack(held["evidence"].to_list())
     best, least = models[0], math.inf
     for i, m in enumerate(models):
-        x = np.array([r["evidence"][i] for r in held])
+        x = evidence[:, i]
         m.rate = float(x[y == 0].sum() / max(1.0, n[y == 0].sum()))
         m.power, m.weight, m.bias, loss = calibrate(y, x - m.rate * n, n, {c: float(k) for c, k in sizes.items()})
         if loss <= least:
