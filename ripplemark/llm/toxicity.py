@@ -29,6 +29,7 @@ once, by its least text. An empty table gives an empty result; with labels of on
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -37,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,11 +183,12 @@ def _triples(sample: DataFrame) -> DataFrame:
 def _document_counts(texts: DataFrame, of: DataFrame) -> DataFrame:
     """word, n: how many documents hold each of the words in ``of``, and, for the word null, the sum of that over all words.
 
-    Counts are summed in each task before they are shuffled. The words are broadcast where they are counted to be few enough; else all words are counted.
+    Counts are summed in each task before they are shuffled. Hashes of the words (8 bytes each) are broadcast where they are counted to be few
+    enough; else all words are counted.
     """
     spark = texts.sparkSession
     few = of.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    shared = spark.sparkContext.broadcast(frozenset(of.toPandas()["word"]) if few else None)
+    shared = spark.sparkContext.broadcast(np.sort(of.select(F.xxhash64("word").alias("h")).toPandas()["h"].to_numpy(np.int64)) if few else None)
 
     def run(batches):
         known, seen, total = shared.value, Counter(), 0
@@ -195,10 +198,16 @@ def _document_counts(texts: DataFrame, of: DataFrame) -> DataFrame:
             seen.clear()
 
         for _, some in chunks(batches, "text"):
-            for text in some:
-                words = set(words_of(text))
-                total += len(words)
-                seen.update(words if known is None else known & words)
+            sets = [set(words_of(text)) for text in some]
+            total += sum(map(len, sets))
+            if known is not None:
+                words = list(set().union(*sets))
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+                at = np.searchsorted(known, hashes)
+                mine = set(itertools.compress(words, (known[np.minimum(at, len(known) - 1)] == hashes).tolist())) if len(known) else set()
+                sets = [mine & words for words in sets]
+            for words in sets:
+                seen.update(words)
             if len(seen) > HELD:
                 yield from out()
                 total = 0
