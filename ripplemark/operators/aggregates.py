@@ -22,6 +22,15 @@ def co_moment(p: str, q: str) -> Column:
     return (F.var_pop(p) if p == q else F.covar_pop(p, q)) * F.count(F.when(both, 1))
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean as an aggregate that no order of rows and partitions changes: doubles are summed as the decimals that they are written as (to 18 places).
+
+    Equal means are equal doubles, so ties and bounds hold. With a NaN, an infinity or a value from 1e20 on it is Spark's own mean.
+    """
+    d = x.try_cast("decimal(38,18)")
+    return F.when(F.count(d) == F.count(x), F.try_divide(F.try_sum(d), F.count(d)).cast("double")).otherwise(F.avg(x))
+
+
 def sums_of_squares(df: DataFrame, keys: Sequence[str], observed: str = "y", predicted: str = "fitted") -> DataFrame:
     """keys, sse, sst, n: sst about the mean of the keys' rows, exactly 0 where the observed values are constant."""
     rows = df.select(*keys, (F.col(observed) - F.col(predicted)).alias("e"), F.col(observed).alias("o"))

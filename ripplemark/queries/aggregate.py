@@ -292,7 +292,7 @@ def pool_mask(spark, d):
     from ripplemark.operators.shaping import pool_masks
 
     s = T.table(spark, d, "part").select(F.col("p_partkey").alias("feature")).join(T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("feature"), "l_discount"), "feature", "left")
-    return pool_masks(s.groupBy("feature").agg(F.avg("l_discount").alias("v")), "feature", "v", pool_at_most=0.03, scoring_above=0.08)
+    return pool_masks(s.groupBy("feature").agg(A.exact_mean(F.col("l_discount")).alias("v")), "feature", "v", pool_at_most=0.03, scoring_above=0.08)
 
 
 @query("evenly_spaced", """WITH k AS (SELECT o_orderpriority AS grp, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
