@@ -119,11 +119,18 @@ def expand_regressors(events: DataFrame, amplitudes: Sequence[tuple[str, Column]
 
 
 def trial_ids(events: DataFrame) -> DataFrame:
-    """Adds trial_index over all runs and trial_id like run-01_trial-0007."""
-    counts = events.groupBy("run").agg(F.count("*").alias("n"))
-    before = counts.withColumn("first", F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))).select("run", F.coalesce("first", F.lit(0)).alias("first"))
-    named = F.concat(F.lit("run-"), F.lpad((F.col("run") + 1).cast("string"), 2, "0"), F.lit("_trial-"), F.lpad(F.col("event_index").cast("string"), 4, "0"))
-    return events.join(F.broadcast(before), "run").withColumn("trial_index", F.col("first") + F.col("event_index")).withColumn("trial_id", named).drop("first")
+    """Adds trial_index over all runs (a null run goes last) and trial_id like run-01_trial-0007; longer numbers stay whole."""
+
+    def digits(x: Column, least: int) -> Column:
+        text = x.cast("string")
+        return F.lpad(text, F.greatest(F.length(text), F.lit(least)), F.lit("0"))
+
+    counts = events.groupBy(F.col("run").alias("_run")).agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.col("_run").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("first", F.sum("n").over(order)).select("_run", F.coalesce("first", F.lit(0)).alias("first"))
+    named = F.concat(F.lit("run-"), digits(F.col("run") + 1, 2), F.lit("_trial-"), digits(F.col("event_index"), 4))
+    rows = events.join(F.broadcast(before), F.col("run").eqNullSafe(F.col("_run")))
+    return rows.withColumn("trial_index", F.col("first") + F.col("event_index")).withColumn("trial_id", named).drop("first", "_run")
 
 
 def repetitions(df: DataFrame, item: str, order: Sequence[str], least: int) -> DataFrame:

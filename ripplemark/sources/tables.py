@@ -70,7 +70,7 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, event_index, onset, duration, trial_type, response_time: events as stimuli, in order of time within a run."""
     e = table(spark, sf_dir, "events")
     rows = e.select((F.col("user_id") % RUNS).cast("int").alias("run"), "event_id", seconds(F.col("ts")).alias("onset"), F.col("event_type").alias("trial_type"), F.col("value").alias("response_time"))
-    order = Window.partitionBy("run").orderBy("onset", "event_id")
+    order = Window.partitionBy("run").orderBy(F.col("onset").asc_nulls_last(), F.col("event_id").asc_nulls_last())
     return rows.select("run", (F.row_number().over(order) - 1).alias("event_index"), "event_id", "onset", F.lit(0.0).alias("duration"), "trial_type", "response_time")
 
 

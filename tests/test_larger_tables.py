@@ -39,3 +39,20 @@ def test_exact_mean_of_odd_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     exact, plain = df.agg(exact_mean(F.col("x")), F.avg("x")).first()
     assert exact == plain or exact != exact and plain != plain or abs(exact - plain) < 1e-15
+
+
+def events(rows):
+    return f"SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(range) AS ts, {rows} AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(24000)"
+
+
+def test_trial_table_keeps_numbers_of_more_than_four_digits(spark, tmp_path):
+    path, con = tables(tmp_path, events=events("range % 2 * 6"))  # 24,000 events in one run
+    got = QUERIES["trial_table"](spark, path)
+    assert_same(got, con, ORACLES["trial_table"])
+    assert got.select("trial_id").distinct().count() == 24_000
+
+
+def test_trial_table_keeps_events_without_user_or_time(spark, tmp_path):
+    rows = "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, CASE WHEN user_id <> 3 THEN user_id END AS user_id, event_type, value, props"
+    path, con = tables(tmp_path, events=f"{rows} FROM ({events('range % 8')}) WHERE event_id < 500")
+    assert_same(QUERIES["trial_table"](spark, path), con, ORACLES["trial_table"])
