@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ripplemark.llm import boosting, jpeg, media, personal, queries, scanner, secrets
 from tests.oracle import assert_same, connection
@@ -314,3 +315,13 @@ def test_media_digests(spark):
     shapes = media.tensors(stored).collect()
     assert all(len(r["rgb"]) == 3 * r["height"] * r["width"] for r in shapes)
     assert media.media_digests(table(spark).where("false")).count() == 0
+
+
+def test_trees_and_thresholds_learn_from_all_documents(spark, monkeypatch):
+    seen = []
+    boost, threshold = personal.boost, personal.threshold
+    monkeypatch.setattr(personal, "boost", lambda rows: seen.extend(rows) or boost(rows))
+    monkeypatch.setattr(personal, "threshold", lambda model, rows, precision: seen.extend(rows) or threshold(model, rows, precision))
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("from 10.1.2.7").alias("text"))
+    personal.fit(df.union(spark.createDataFrame([(None, "from 10.1.2.7")], "doc_id long, text string")))
+    assert sum(n for _, _, n in seen) == 2 * 50_001  # each address as it is and in disguise
