@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,11 @@ def ship(spark: SparkSession) -> None:
     sc._ripplemark_sent = True
 
 
+def gathered(df: DataFrame) -> pd.DataFrame:
+    """A bounded table on the driver, by Arrow whatever the session's settings: no Python object for each row and value."""
+    return df.toArrow().to_pandas()
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
     small_batches(df.sparkSession)

@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import chunks, crc_remainder, filter_rows, map_arrow, ship
+from ripplemark.llm.common import chunks, crc_remainder, filter_rows, gathered, map_arrow, ship
 from ripplemark.llm.labelled import bounded_sample
 
 TRAIN_DOCS = 5_000
@@ -346,14 +346,14 @@ def fit(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([*at[0], -1, -2], pa.int32()), pa.array([*at[1], 0, 0], pa.int32()), pa.array([*uses[at], gain, words], pa.float64())], ["lang", "piece", "uses"])
 
         parts = map_arrow(counted, expect, "lang int, piece int, uses double")
-        found = parts.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()  # at most languages x vocabulary
+        found = gathered(parts.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")))  # at most languages x vocabulary
         of = dict(zip(found["lang"], found["uses"], strict=True))
         uses = np.zeros((len(langs), pieces.size))
         real = found[found["lang"] >= 0]
         uses[real["lang"].to_numpy(), real["piece"].to_numpy()] = real["uses"]
         p = smoothed(uses, pieces.start)
         likelihood = of.get(-1, 0.0) / max(1.0, of.get(-2, 0.0))
-        shared.unpersist()
+        shared.destroy()
         if before is not None and likelihood - before < SETTLED:
             break
         before = likelihood

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import chunks, crc_remainder, filter_rows, id_text, map_arrow, ship
+from ripplemark.llm.common import chunks, crc_remainder, filter_rows, gathered, id_text, map_arrow, ship
 from ripplemark.llm.labelled import bounded_sample
 
 #: Labelled rows of each class that are learnt from.
@@ -188,7 +188,7 @@ def _document_counts(texts: DataFrame, of: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     few = of.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    shared = spark.sparkContext.broadcast(np.sort(of.select(F.xxhash64("word").alias("h")).toPandas()["h"].to_numpy(np.int64)) if few else None)
+    shared = spark.sparkContext.broadcast(np.sort(gathered(of.select(F.xxhash64("word").alias("h")))["h"].to_numpy(np.int64)) if few else None)
 
     def run(batches):
         known, seen, total = shared.value, Counter(), 0
@@ -237,15 +237,15 @@ def _word_tables(documents: DataFrame, seen: DataFrame) -> list[Model]:
 
         left = (F.col("t") > _discount("t", "h_t", "o", "h_o", STEPS[0])) | (F.col("o") > _discount("o", "h_o", "t", "h_t", STEPS[0]))
         # what the least discount leaves: bounded by the words of the bounded sample over (least step) ** 2
-        kept = whole.where(left).select("first", "second", "t", "o").toPandas()
+        kept = gathered(whole.where(left).select("first", "second", "t", "o"))
         masses = whole.groupBy("first").agg(
             F.max(left).alias("stands"), F.max("h_t").alias("t"), F.max("h_o").alias("o"),
             *(F.sum(_discount(a, f"h_{a}", b, f"h_{b}", s)).alias(f"{a}{i}") for i, s in enumerate(STEPS) for a, b in (("t", "o"), ("o", "t"))),
         )
-        heads = masses.where("stands").drop("stands").toPandas()
+        heads = gathered(masses.where("stands").drop("stands"))
         stands = (F.col("t") > _discount("t", sizes[0], "o", sizes[1], STEPS[0])) | (F.col("o") > _discount("o", sizes[1], "t", sizes[0], STEPS[0]))
         wanted = words.where(stands).unionByName(words.join(whole.where(left).select(F.col("second").alias("word")).distinct(), "word", "left_semi")).distinct()
-        own = wanted.withColumn("share", F.col("n") / F.lit(float(max(1, n)))).toPandas()
+        own = gathered(wanted.withColumn("share", F.col("n") / F.lit(float(max(1, n)))))
     finally:
         whole.unpersist()
         words.unpersist()
@@ -277,7 +277,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
             found = [m.evidence(some) for m in shared.value]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(np.stack([x for x, _ in found], 1).tolist(), pa.list_(pa.float64())), pa.array(found[0][1], pa.int64())], ["toxic", "evidence", "n"])
 
-    held = map_arrow(sample.where("not counted").select("toxic", "text"), measure, "toxic int, evidence array<double>, n long").toPandas()  # part of the bounded sample
+    held = gathered(map_arrow(sample.where("not counted").select("toxic", "text"), measure, "toxic int, evidence array<double>, n long"))  # part of the bounded sample
+    shared.destroy()
     y, n = held["toxic"].to_numpy(float), held["n"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         best = models[len(models) // 2]
